@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivum.llm import bpe
-from archivum.llm._shared import table
+from archivum.llm import bpe, langid
+from archivum.llm._shared import remainder, table
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +20,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op10_bpe": op10_bpe}
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    learned = langid.fit(docs.where(~held_out))
+    ready = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return langid.predict(ready, learned, keep=["doc_id", "held_out"])
+
+
+QUERIES = {"op5_langid": op5_langid, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
