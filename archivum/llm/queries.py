@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivum.llm import bpe, langid
+from archivum.llm import bpe, langid, warc
 from archivum.llm._shared import remainder, table
 
 
@@ -28,5 +28,20 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(ready, learned, keep=["doc_id", "held_out"])
 
 
-QUERIES = {"op5_langid": op5_langid, "op10_bpe": op10_bpe}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    marked = warc.mark_revisits(pages, "page_id", "html", keep=["url"])
+    records = warc.read_archives(warc.write_archives(marked, "page_id", "url"))
+    number = lambda c: F.expr(f"try_cast(substring({c}, {len(warc.ID_PREFIX) + 1}) as bigint)")
+    response = F.col("record_type") == "response"
+    return records.select(
+        number("record_id").alias("page_id"),
+        F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+QUERIES = {"op5_langid": op5_langid, "op6_warc": op6_warc, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
