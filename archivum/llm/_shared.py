@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivum.shipping import ship
@@ -64,3 +64,20 @@ def lower_ascii(text):
 def remainder(key, modulus: int):
     """crc32 of the key as text, modulo ``modulus``; null keys count as ''."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def bounded_sample(df: DataFrame, key: str, group: str, text: str, per_group: int) -> list[tuple]:
+    """At most ``per_group`` (group, text) of each group, sorted; the same for
+    the same rows. Rows with a null group or text don't take part.
+
+    Only hashes are ranked, within 64 salts first, so that no task sorts a
+    whole group; then the texts of those chosen are fetched.
+    """
+    known = df.where(F.col(group).isNotNull() & F.col(text).isNotNull())
+    hashed = known.select(F.col(group).alias("g"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    few = hashed.select("g", "h").withColumn("salt", F.pmod("h", F.lit(64)))
+    first = few.withColumn("n", F.row_number().over(Window.partitionBy("g", "salt").orderBy("h"))).where(F.col("n") <= per_group)
+    ids = first.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("n") <= per_group).select("g", "h").distinct()
+    chosen = df.sparkSession.createDataFrame([(r.g, r.h) for r in ids.collect()], hashed.select("g", "h").schema)
+    rows = hashed.join(F.broadcast(chosen), ["g", "h"], "left_semi").dropDuplicates(["g", "h"])
+    return sorted((r.g, r.text) for r in rows.collect())

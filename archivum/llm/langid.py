@@ -17,11 +17,11 @@ import numpy as np
 import pandas as pd
 import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivum.llm._shared import for_python
+from archivum.llm._shared import bounded_sample, for_python
 
 #: Bytes of folded training text in a language's dictionary.
 DICTIONARY_BYTES = 65_536
@@ -44,22 +44,6 @@ def fold(text: str) -> str:
     return _not_letters.sub(" ", text.lower())
 
 
-def training_texts(df: DataFrame, key: str, text: str, lang: str, per_language: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """A bounded sample of (language, text), the same for the same rows.
-
-    Ranks are taken within 64 salts first, so no task sorts a whole language.
-    """
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    hashed = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    few = hashed.select("lang", "h").withColumn("salt", F.pmod("h", F.lit(64)))
-    first = few.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))).where(F.col("n") <= per_language)
-    ids = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language).select("lang", "h").distinct()
-    picked = ids.collect()
-    chosen = df.sparkSession.createDataFrame([(r.lang, r.h) for r in picked], "lang string, h long")
-    rows = hashed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
-    return sorted((r.lang, r.text) for r in rows.collect())
-
-
 def dictionaries(samples: list[tuple[str, str]], size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each language. Lines that several languages share
     (licences, boilerplate) and repeats of a line are left out."""
@@ -117,7 +101,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
 
     An empty table gives none, and then every text is undetermined.
     """
-    return dictionaries(training_texts(df, key, text, lang))
+    return dictionaries(bounded_sample(df, key, lang, text, SAMPLE_TEXTS))
 
 
 def predict(df: DataFrame, by_language: dict[str, bytes], text: str = "text", keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivum.llm import bpe, langid, warc
+from archivum.llm import bpe, langid, quality, warc
 from archivum.llm._shared import remainder, table
 
+#: A document is of good quality from this score on.
+QUALITY_THRESHOLD = 0.3
+
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -43,5 +46,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_langid": op5_langid, "op6_warc": op6_warc, "op10_bpe": op10_bpe}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    network = quality.learn(docs.where(~held_out).join(labels, "doc_id"), "doc_id", "text", "quality")
+    ready = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return quality.predict(ready, network, QUALITY_THRESHOLD, keep=["doc_id", "held_out"])
+
+
+QUERIES = {"op5_langid": op5_langid, "op6_warc": op6_warc, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
