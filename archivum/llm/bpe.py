@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from archivum.llm._shared import for_python
 
 #: Pieces whose ids a worker remembers; beyond it the memo starts anew.
-MEMO_PIECES = 200_000
+MEMO_PIECES = 300_000
+#: More than the largest rank.
+STEP = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,157 +38,220 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` with these starts and lengths, end to end."""
+    shift = starts - (np.cumsum(lengths) - lengths)
+    return flat[np.repeat(shift, lengths) + np.arange(lengths.sum())]
+
+
+class _Numbers(dict):
+    """Numbers pieces as they come; ``fresh`` has those not yet encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.fresh.append(piece)
+        return number
+
+
 class MergeReplay:
-    """Ids of pieces under a rank table, and bytes of ids."""
+    """Ids of pieces under a rank table."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.byte_pairs = np.full(65536, -1, np.int64)
+        # Every pair of tokens that together are a token, by left * STEP + right.
+        self.pairs = {}
         for token, rank in ranks.items():
-            if len(token) == 2:
-                self.byte_pairs[token[0] * 256 + token[1]] = rank
-        self.memo: dict[str, list[int]] = {}
-
-    def pair_rank(self, left: int, right: int) -> int:
-        """Rank of the token that the two make, or -1."""
-        rank = self.pairs.get((left, right))
-        if rank is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            rank = self.pairs[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return rank
-
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece (none empty), all pieces merged together."""
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left * STEP + right] = rank
+        self.keys = np.array(sorted(self.pairs), np.int64)
+        self.values = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        self.flat = np.zeros(0, np.int32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the tokens that pairs make, or -1."""
+        keys = left * STEP + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+    def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces (none empty) end to end, and how many each has.
+
+        ``index`` maps a rank to the positions where a pair of that rank
+        begins; ranks are replayed in order over all pieces at once. The
+        positions of one rank are merged together unless two of them overlap
+        or a merge makes a pair of lower rank; then they go one at a time.
+        """
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         size = len(data)
-        left = data.astype(np.int64)
-        ranks = np.full(size, -1, np.int64)
-        ranks[:-1] = self.byte_pairs[left[:-1] * 256 + left[1:]]
-        ranks[ends - 1] = -1  # no pair crosses the end of a piece
-        symbol = self.byte_ids[left].tolist()
+        symbol = self.byte_ids[data]
         after = np.arange(1, size + 1)
-        after[ends - 1] = -1
-        after = after.tolist()
+        after[ends - 1] = -1  # no pair crosses the end of a piece
         before = np.arange(-1, size - 1)
         before[ends[:-1]] = -1
-        before = before.tolist()
-        where = np.flatnonzero(ranks >= 0)
-        where = where[np.argsort(ranks[where], kind="stable")]
-        index: dict[int, list[int]] = {}
-        if len(where):
-            cuts = np.flatnonzero(np.diff(ranks[where])) + 1
-            for group in np.split(where, cuts):
-                index[int(ranks[group[0]])] = group.tolist()
-        current = ranks.tolist()  # rank of the pair that starts here
-        queue = list(index)
-        heapq.heapify(queue)
-        pair_rank = self.pair_rank
+        current = np.full(size, -1, np.int64)  # rank of the pair that starts here
+        inner = np.flatnonzero(after >= 0)
+        current[inner] = self.lookup(symbol[inner], symbol[inner + 1])
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def listed(places: np.ndarray, ranks: np.ndarray) -> None:
+            known = ranks >= 0
+            places, ranks = places[known], ranks[known]
+            if len(places) == 0:
+                return
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            firsts = [0, *cuts.tolist()]
+            for start, stop, rank in zip(firsts, [*firsts[1:], len(places)], ranks[firsts].tolist()):
+                if rank in index:
+                    index[rank].append(places[start:stop])
+                else:
+                    index[rank] = [places[start:stop]]
+                    heapq.heappush(queue, rank)
+
+        listed(inner, current[inner])
         while queue:
             rank = heapq.heappop(queue)
-            places = index.pop(rank, None)
-            if places is None:
+            groups = index.pop(rank)
+            places = np.sort(groups[0] if len(groups) == 1 else np.concatenate(groups))
+            places = places[current[places] == rank]
+            if len(groups) > 1 and len(places) > 1:
+                places = places[np.concatenate(([True], places[1:] != places[:-1]))]
+            if len(places) == 0:
+                continue
+            nxt = after[places]
+            follow = after[nxt]
+            if len(places) > 1 and (nxt[:-1] == places[1:]).any():
+                self._singly(rank, places.tolist(), symbol, after, before, current, index, queue)
                 continue
-            places.sort()
-            for k, at in enumerate(places):
-                if current[at] != rank:
-                    continue
-                nxt = after[at]
-                symbol[at], symbol[nxt] = rank, -1
-                current[nxt] = -1
-                follow = after[at] = after[nxt]
-                lower = False
-                if follow >= 0:
-                    before[follow] = at
-                    new = current[at] = pair_rank(rank, symbol[follow])
-                    if new >= 0:
-                        lower = new < rank
-                        if new in index:
-                            index[new].append(at)
-                        else:
-                            index[new] = [at]
-                            heapq.heappush(queue, new)
+            has_next = follow >= 0
+            at, beyond = places[has_next], follow[has_next]
+            saved = symbol[places], symbol[nxt], current[nxt], before[beyond]
+            symbol[places], symbol[nxt], current[nxt] = rank, -1, -1
+            after[places] = follow
+            before[beyond] = at
+            right = np.full(len(places), -1, np.int64)
+            right[has_next] = self.lookup(symbol[at], symbol[beyond])
+            prior = before[places]
+            has_prior = prior >= 0
+            prior = prior[has_prior]
+            left = self.lookup(symbol[prior], symbol[places[has_prior]])
+            if ((right >= 0) & (right < rank)).any() or ((left >= 0) & (left < rank)).any():
+                symbol[places], symbol[nxt], current[nxt], before[beyond] = saved
+                after[places] = nxt
+                self._singly(rank, places.tolist(), symbol, after, before, current, index, queue)
+                continue
+            current[places] = right
+            current[prior] = left
+            listed(places, right)
+            listed(prior, left)
+        kept = symbol >= 0
+        counts = np.add.reduceat(kept, ends - np.diff(ends, prepend=0)) if size else np.zeros(0, np.int64)
+        return symbol[kept].astype(np.int32), counts.astype(np.int64)
+
+    def _singly(self, rank, places, symbol, after, before, current, index, queue) -> None:
+        """Merge the positions of one rank in turn, leftmost first, and stop
+        for any pair of lower rank that comes up."""
+
+        def new_pair(at: int, left: int, right: int) -> bool:
+            new = self.pairs.get(left * STEP + right, -1)
+            current[at] = new
+            if new >= 0:
+                if new in index:
+                    index[new].append(np.array([at]))
                 else:
-                    current[at] = -1
-                prior = before[at]
-                if prior >= 0:
-                    new = current[prior] = pair_rank(symbol[prior], rank)
-                    if new >= 0:
-                        lower = lower or new < rank
-                        if new in index:
-                            index[new].append(prior)
-                        else:
-                            index[new] = [prior]
-                            heapq.heappush(queue, new)
-                if lower and k + 1 < len(places):  # the new pair comes first
-                    index.setdefault(rank, []).extend(places[k + 1 :])
-                    heapq.heappush(queue, rank)
-                    break
-        out, start = [], 0
-        for end in ends.tolist():
-            out.append([s for s in symbol[start:end] if s >= 0])
-            start = end
-        return out
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Put the ids of all these pieces into the memo."""
-        memo, fresh, raw = self.memo, [], []
-        for piece in pieces:
-            if piece in memo:
+                    index[new] = [np.array([at])]
+                    heapq.heappush(queue, new)
+            return 0 <= new < rank
+
+        for k, at in enumerate(places):
+            if current[at] != rank:
                 continue
-            data = piece.encode("utf-8", "replace")
-            whole = self.ranks.get(data)
-            if whole is None:
-                fresh.append(piece)
-                raw.append(data)
-            else:
-                memo[piece] = [whole]
-        if raw:
-            memo.update(zip(fresh, self.replay(raw)))
+            nxt = int(after[at])
+            symbol[at], symbol[nxt], current[nxt], current[at] = rank, -1, -1, -1
+            follow = after[at] = int(after[nxt])
+            lower = False
+            if follow >= 0:
+                before[follow] = at
+                lower = new_pair(at, rank, int(symbol[follow]))
+            prior = int(before[at])
+            if prior >= 0:
+                lower = new_pair(prior, int(symbol[prior]), rank) or lower
+            if lower and k + 1 < len(places):
+                rest = np.array(places[k + 1 :])
+                if rank in index:
+                    index[rank].append(rest)
+                else:
+                    index[rank] = [rest]
+                    heapq.heappush(queue, rank)
+                return
+
+    def learn(self) -> None:
+        """Encode the pieces that were numbered since the last time."""
+        fresh = [x.encode("utf-8", "replace") for x in self.numbers.fresh]
+        self.numbers.fresh = []
+        if not fresh:
+            return
+        whole = np.array([self.ranks.get(x, -1) for x in fresh], np.int64)
+        split = np.flatnonzero(whole < 0)
+        counts = np.ones(len(fresh), np.int64)
+        ids = np.zeros(0, np.int32)
+        if len(split):
+            ids, counts[split] = self.replay([fresh[i] for i in split.tolist()])
+        starts = np.cumsum(counts) - counts
+        flat = np.zeros(counts.sum(), np.int32)
+        flat[starts[whole >= 0]] = whole[whole >= 0]
+        if len(split):
+            flat[gather(np.arange(len(flat)), starts[split], counts[split])] = ids
+        self.starts = np.concatenate((self.starts, starts + len(self.flat)))
+        self.lengths = np.concatenate((self.lengths, counts))
+        self.flat = np.concatenate((self.flat, flat))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the offsets of the texts."""
-        ids, offsets, find = array("i"), [0], self.find
-        group: list[list[str]] = []
-        held = 0
-
-        def flush() -> None:
-            if len(self.memo) > MEMO_PIECES:
-                self.memo.clear()
-            self.learn(set().union(*group))
-            memo = self.memo
-            for pieces in group:
-                for piece in pieces:
-                    ids.extend(memo[piece])
-                offsets.append(len(ids))
-            group.clear()
-
+        if len(self.numbers) > MEMO_PIECES:
+            self.forget()
+        number, find = self.numbers.__getitem__, self.find
+        pieces, counts = array("i"), []
         for text in texts:
-            group.append(find(text) if text else [])
-            held += len(group[-1])
-            if held > 200_000:
-                flush()
-                held = 0
-        if group:
-            flush()
-        return np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), np.array(offsets, np.int64)
+            had = len(pieces)
+            if text:
+                pieces.extend(map(number, find(text)))
+            counts.append(len(pieces) - had)
+        self.learn()
+        if not len(pieces):
+            return np.zeros(0, np.int32), np.zeros(len(counts) + 1, np.int64)
+        which = np.frombuffer(pieces, np.int32)
+        lengths = self.lengths[which]
+        total = np.concatenate(([0], np.cumsum(lengths)))
+        return gather(self.flat, self.starts[which], lengths), total[np.concatenate(([0], np.cumsum(counts)))]
 
 
-_replays: dict[tuple[int, str], MergeReplay] = {}
+_replays: list[tuple[tuple[str, int, int], MergeReplay]] = []
 
 
 def _replay(shared, pattern: str) -> MergeReplay:
-    """One MergeReplay for each worker, vocabulary and pattern."""
-    key = (hash(frozenset(list(shared.value.items())[:64])) ^ len(shared.value), pattern)
-    if key not in _replays:
-        _replays.clear()
-        _replays[key] = MergeReplay(shared.value, pattern)
-    return _replays[key]
+    """The worker's MergeReplay of this broadcast and pattern."""
+    ranks = shared.value
+    key = (pattern, len(ranks), hash(frozenset(ranks.items())))
+    if not _replays or _replays[0][0] != key:
+        _replays[:] = [(key, MergeReplay(ranks, pattern))]
+    return _replays[0][1]
 
 
 def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, keep: list[str], ids: str = "ids") -> DataFrame:
@@ -220,14 +285,20 @@ def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], keep: list[str], ou
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: list[bytes] = [b""] * (max(shared.value.values()) + 1)
+        tokens: list[bytes] = [b""] * (max(shared.value.values(), default=-1) + 1)
         for token, rank in shared.value.items():
             tokens[rank] = token
-        get = tokens.__getitem__
+        flat = np.frombuffer(b"".join(tokens), np.uint8)
+        lengths = np.array([len(x) for x in tokens], np.int64)
+        starts = np.cumsum(lengths) - lengths
         for batch in batches:
-            lists = batch.column(0)
-            made = [b"".join(map(get, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.binary())], names=[*keep, out])
+            lists = batch.column(0).fill_null([])
+            which = lists.flatten().to_numpy(zero_copy_only=False)
+            counts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+            sizes = np.concatenate(([0], np.cumsum(lengths[which])))
+            data = gather(flat, starts[which], lengths[which])
+            made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(sizes[counts].astype(np.int64)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], made.cast(pa.binary())], names=[*keep, out])
 
     narrow = df.select(F.col(ids).alias("__ids"), *keep)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType())])
