@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivum.llm import bpe, langid, quality, warc
+from archivum.llm import bpe, langid, neardup, quality, warc
 from archivum.llm._shared import remainder, table
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return neardup.near_duplicates(docs, width=2, percent=80).withColumnRenamed("id", "doc_id")
+
+
 #: A document is of good quality from this score on.
 QUALITY_THRESHOLD = 0.3
 
@@ -55,5 +60,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(ready, network, QUALITY_THRESHOLD, keep=["doc_id", "held_out"])
 
 
-QUERIES = {"op5_langid": op5_langid, "op6_warc": op6_warc, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+QUERIES = {"op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
