@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivum.llm import bpe, langid, neardup, quality, warc
+from archivum.llm import bpe, decontamination, langid, neardup, quality, warc
 from archivum.llm._shared import remainder, table
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,38 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), iw AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(w[s:s + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM (SELECT *, least(len(w), 10) AS n FROM i WHERE len(w) > 0))
+), dw AS (
+  SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, s, n, item FROM dw JOIN iw USING (n, g)
+), pos AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+"""
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -55,10 +87,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     held_out = remainder(F.col("doc_id"), 5) == 0
-    network = quality.learn(docs.where(~held_out).join(labels, "doc_id"), "doc_id", "text", "quality")
+    network = quality.learn(labels.where(~held_out), docs, "doc_id", "text", "quality")
     ready = docs.select("doc_id", held_out.alias("held_out"), "text")
     return quality.predict(ready, network, QUALITY_THRESHOLD, keep=["doc_id", "held_out"])
 
 
-QUERIES = {"op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_decontamination": op1_decontamination, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
