@@ -66,18 +66,19 @@ def remainder(key, modulus: int):
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def bounded_sample(df: DataFrame, key: str, group: str, text: str, per_group: int) -> list[tuple]:
+def bounded_sample(marked: DataFrame, docs: DataFrame, key: str, group: str, text: str, per_group: int) -> list[tuple]:
     """At most ``per_group`` (group, text) of each group, sorted; the same for
-    the same rows. Rows with a null group or text don't take part.
+    the same rows. ``marked`` has key and group, ``docs`` key and text. Rows
+    with a null key, group or text don't take part.
 
-    Only hashes are ranked, within 64 salts first, so that no task sorts a
-    whole group; then the texts of those chosen are fetched.
+    Only keys are ranked by hash, in 64, then 8 parts of a group, so that no
+    task sorts a whole group; then the texts of those chosen are fetched.
     """
-    known = df.where(F.col(group).isNotNull() & F.col(text).isNotNull())
-    hashed = known.select(F.col(group).alias("g"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    few = hashed.select("g", "h").withColumn("salt", F.pmod("h", F.lit(64)))
-    first = few.withColumn("n", F.row_number().over(Window.partitionBy("g", "salt").orderBy("h"))).where(F.col("n") <= per_group)
-    ids = first.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("n") <= per_group).select("g", "h").distinct()
-    chosen = df.sparkSession.createDataFrame([(r.g, r.h) for r in ids.collect()], hashed.select("g", "h").schema)
-    rows = hashed.join(F.broadcast(chosen), ["g", "h"], "left_semi").dropDuplicates(["g", "h"])
-    return sorted((r.g, r.text) for r in rows.collect())
+    rest = marked.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("g")).withColumn("h", F.xxhash64("k"))
+    for parts in (64, 8, 1):
+        near = Window.partitionBy("g", "part").orderBy("h", "k")
+        rest = rest.withColumn("part", F.pmod("h", F.lit(parts))).withColumn("n", F.row_number().over(near)).where(F.col("n") <= per_group).drop("n", "part")
+    picked = rest.select("k", "g").distinct()
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], picked.schema)
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")
+    return sorted({(r.g, r.text) for r in rows.collect()})

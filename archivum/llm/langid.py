@@ -26,7 +26,7 @@ from archivum.llm._shared import bounded_sample, for_python
 #: Bytes of folded training text in a language's dictionary.
 DICTIONARY_BYTES = 65_536
 #: At most so many training texts are fetched for a language, those with the
-#: smallest hash of text and key; a dictionary needs no more.
+#: smallest hash of the key; a dictionary needs no more.
 SAMPLE_TEXTS = 300
 #: A sampled text gives at most so many characters of lines to a dictionary.
 SAMPLE_CHARS = 2_000
@@ -101,7 +101,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
 
     An empty table gives none, and then every text is undetermined.
     """
-    return dictionaries(bounded_sample(df, key, lang, text, SAMPLE_TEXTS))
+    return dictionaries(bounded_sample(df.where(F.col(text).isNotNull()), df, key, lang, text, SAMPLE_TEXTS))
 
 
 def predict(df: DataFrame, by_language: dict[str, bytes], text: str = "text", keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006

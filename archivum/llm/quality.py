@@ -196,12 +196,13 @@ def fit(samples: list[tuple[int, str]], class_weight: dict[int, float], epochs:
     return network
 
 
-def learn(labelled: DataFrame, key: str, text: str, label: str, per_class: int = SAMPLE_PER_CLASS) -> Network:
-    """Fit on a bounded sample of each class; weights restore the share that
-    the classes have among all labelled rows. Null labels don't take part."""
-    known = labelled.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    shares = {r[0]: r[1] for r in known.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
-    samples = bounded_sample(known.where(F.col(label).isin(0, 1)), key, label, text, per_class)
+def learn(labels: DataFrame, docs: DataFrame, key: str, text: str, label: str, per_class: int = SAMPLE_PER_CLASS) -> Network:
+    """Fit on the texts of a bounded sample of each class; weights restore the
+    share that the classes have among all labelled rows. Labels other than 0
+    and 1, and those without a document, don't take part."""
+    known = labels.where(F.col(label).isin(0, 1)).select(key, label)
+    shares = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
+    samples = bounded_sample(known, docs, key, label, text, per_class)
     seen = {c: sum(1 for x, _ in samples if x == c) for c in shares}
     return fit(samples, {c: shares[c] / max(1, seen[c]) for c in shares})
 
