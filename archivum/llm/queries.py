@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivum.llm import bpe, decontamination, langid, neardup, quality, warc
+from archivum.llm import bpe, decontamination, langid, neardup, quality, secrets, warc
 from archivum.llm._shared import remainder, table
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,15 @@ FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.do
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in secrets.KINDS])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = {k})) as bigint)").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select(F.col("key").alias("doc_id"), *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -92,5 +101,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(ready, network, QUALITY_THRESHOLD, keep=["doc_id", "held_out"])
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+QUERIES = {"op1_decontamination": op1_decontamination, "op4_secrets": op4_secrets, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
