@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivum.llm import bpe, decontamination, langid, neardup, quality, secrets, warc
+from archivum.llm import bpe, decontamination, langid, neardup, quality, secrets, toxicity, warc
 from archivum.llm._shared import remainder, table
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,15 @@ FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.do
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.learn(labels.where(~held_out), docs, "doc_id", "text", "toxic")
+    ready = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return toxicity.predict(ready, model, keep=["doc_id", "held_out"])
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(k) for k in secrets.KINDS])
@@ -101,5 +110,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(ready, network, QUALITY_THRESHOLD, keep=["doc_id", "held_out"])
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_secrets": op4_secrets, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_toxicity": op2_toxicity, "op4_secrets": op4_secrets, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
