@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivum.llm import bpe, decontamination, langid, neardup, quality, secrets, toxicity, warc
+from archivum.llm import bpe, decontamination, langid, lm, neardup, quality, secrets, toxicity, warc
 from archivum.llm._shared import remainder, table
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,11 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, width=2, percent=80).withColumnRenamed("id", "doc_id")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), 5) == 1)
+    return lm.score_documents(docs, docs.where(~F.col("held_out")), keep=["doc_id", "held_out"])
+
+
 #: A document is of good quality from this score on.
 QUALITY_THRESHOLD = 0.3
 
@@ -110,5 +115,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(ready, network, QUALITY_THRESHOLD, keep=["doc_id", "held_out"])
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_toxicity": op2_toxicity, "op4_secrets": op4_secrets, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_toxicity": op2_toxicity, "op4_secrets": op4_secrets, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
