@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivum.llm import bpe, decontamination, langid, lm, neardup, quality, secrets, toxicity, warc
+from archivum.llm import ann, bpe, decontamination, langid, lm, neardup, quality, secrets, toxicity, warc
 from archivum.llm._shared import remainder, table
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(ready, model, keep=["doc_id", "held_out"])
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(k) for k in secrets.KINDS])
@@ -115,5 +120,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(ready, network, QUALITY_THRESHOLD, keep=["doc_id", "held_out"])
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_toxicity": op2_toxicity, "op4_secrets": op4_secrets, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_secrets": op4_secrets, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
