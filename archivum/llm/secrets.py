@@ -65,8 +65,9 @@ def _as_kind(spans: Column, kind: int) -> Column:
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, h (hash of the text), base (kind, start, end), labelled (values
-    taken for random strings) and candidates (start, end, value)."""
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    taken for random strings), candidates (start, end, value) and row (all of
+    the row's own columns, for those who ask)."""
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
     rows = with_matches(rows, "text", ASSIGN, "assign")
     values = F.when(F.size("assign") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("values", values)
@@ -76,7 +77,7 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = with_matches(rows, "text", CANDIDATE, "candidates")
     kinds = [_as_kind(F.col(kind), k) for k, kind in enumerate(KINDS[:3])]
     labelled = F.expr("concat(transform(access, s -> s.value), transform(hex, s -> s.value), filter(transform(assign, s -> s.value), v -> v rlike '[0-9]' and v rlike '[A-Za-z]'))")
-    return rows.select("key", F.xxhash64("text").alias("h"), F.array_sort(F.concat(*kinds)).alias("base"), labelled.alias("labelled"), "candidates")
+    return rows.select("key", F.xxhash64("text").alias("h"), F.array_sort(F.concat(*kinds)).alias("base"), labelled.alias("labelled"), "candidates", "row")
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
@@ -123,14 +124,27 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Spans that the models add don't overlap base ones. Base spans of
     different kinds may overlap each other.
     """
-    found = stored(scan(docs, key, text), "secrets")
-    ratios = log_ratios(found, docs, key, text)
+    found = stored(scan(docs, key, text).drop("row"), "secrets")
+    return with_spans(found, log_ratios(found, docs, key, text)).select("key", "h", "spans")
+
+
+def with_spans(found: DataFrame, ratios: list[float]) -> DataFrame:
+    """Adds ``spans`` to what ``scan`` gives."""
     rows = found.withColumn("ratios", F.lit(ratios))
     judged = F.expr(
         f"""filter(candidates, c -> not exists(base, s -> s.start < c.end and c.start < s.end)
           and {ratio('c.value', 'ratios')} >= greatest({LEAST_RATIO}D, {LEAST_MEAN}D * (length(c.value) - 1)))"""
     )
-    return rows.select("key", "h", F.array_sort(F.concat("base", _as_kind(judged, 3))).alias("spans"))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", _as_kind(judged, 3))))
+
+
+def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with the spans in ``text`` replaced by ``mark``; texts without
+    any stay as they are, null too. Texts are scanned twice and not shuffled."""
+    found = stored(scan(docs, key, text).drop("row"), "secrets")
+    rows = with_spans(scan(docs, key, text), log_ratios(found, docs, key, text)).select("row", "spans")
+    clean = redacted(F.col(f"row.`{text}`"), F.col("spans"), mark)
+    return rows.select(*[clean.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def redacted(text: Column, spans: Column, mark: str) -> Column:

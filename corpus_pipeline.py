@@ -1,15 +1,76 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: from ``documents`` to token ids, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor
+kept, and returns the columns of ``documents``; the last returns token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from archivum.llm import bpe, decontamination, neardup, quality, secrets
+from archivum.llm._shared import remainder, stored, table
+
+#: Documents that score below it are rejected.
+QUALITY_THRESHOLD = 0.3
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality network rejects. It is fitted on
+    labelled documents whose crc32 modulo 5 is not 0."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(remainder(F.col("doc_id"), 5) != 0)
+    network = quality.learn(labels, docs, "doc_id", "text", "quality")
+    return quality.predict(docs, network, QUALITY_THRESHOLD, keep=docs.columns).where("predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate group
+    (five-word shingles, similarity of 0.8 or more)."""
+    found = neardup.near_duplicates(docs)
+    others = found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a window of the benchmark."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    leaks = found.where("contaminated").select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; n_chars follows."""
+    clean = secrets.without_secrets(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and whether they decode to the text."""
+    ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
+    coded = bpe.encode(docs, "text", ranks, public_tokenizers.PATTERN, ["doc_id", "lang", "source", "text"])
+    back = bpe.decode(coded, "ids", ranks, ["doc_id", "lang", "source", "text", "ids"])
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", keep_one_of_each),
+    ("benchmark decontamination", drop_leaks),
+    ("secret scans", redact_secrets),
+    ("byte-level BPE encoding and decoding", to_tokens),
+]
+#: The stages learn and hash in ways that SQL doesn't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, "stage")
     return docs
