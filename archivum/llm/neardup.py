@@ -5,13 +5,13 @@
    keeps the low BITS bits of each minimum.
 2. Equal sets are one class; only a class's smallest id goes on.
 3. A band key that several classes share is a bucket. Its hub is the member
-   with the least hash, and members are compared to hubs: never all pairs.
+   with the least id, and members are compared to hubs: never all pairs.
    The signature, corrected for chance collisions, drops pairs that are below
-   the threshold by many standard errors; the rest are confirmed exactly,
-   first each with its most promising hub, then those hubs that would still
-   join two groups.
-4. Buckets whose members ended in different groups are compared across those
-   groups, so that no link is lost to the choice of hubs.
+   the threshold by many standard errors; the rest are confirmed exactly.
+   A few bands come first, each member with its most frequent hub; then all
+   bands, where a group that was found counts as one member.
+4. Buckets whose members are still in different groups are compared across
+   those groups, so that no link is lost to the choice of hubs.
 
 At a similarity of 0.8 a pair has no common band with a probability under one
 in a million (5 rows, 36 bands).
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +32,18 @@ from archivum.llm.components import components
 
 ROWS, BANDS = 5, 36
 HASHES = ROWS * BANDS
-BITS = 2
+BITS = 4
 #: Standard errors below the threshold at which a signature rules a pair out.
-SLACK = 6.0
+SLACK = 4.5
+#: Members of a bucket beyond which bitmaps of so many slots bound its pairs.
+CROWDED, BITMAP, BLOCK = 64, 2048, 1024
+#: Bands that the first comparisons use.
+FIRST_BANDS = 8
 PER_LONG = 64 // BITS
 LONGS = -(-HASHES // PER_LONG)
 WORDS, PERCENT = 5, 80
+#: The ids of so many pairs may be broadcast (16 bytes each).
+BROADCAST_PAIRS = 500_000
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,21 +147,18 @@ def features(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_shingles long, set_digest binary, bands array<long>, signature array<long>")
 
 
-def estimate(one: Column, two: Column) -> Column:
-    """Similarity out of two signatures: the share of equal b-bit minima, less
-    what chance makes equal."""
+def estimate(one: str, two: str) -> Column:
+    """Similarity out of two signature columns: the share of equal b-bit
+    minima, less what chance makes equal. Written out long by long, so that it
+    is compiled."""
     low = int("".join(["0" * (BITS - 1) + "1"] * PER_LONG), 2)
-    low = F.lit(low if low < 2**63 else low - 2**64)
-
-    def unequal(pair: Column) -> Column:
-        differ = pair["0"].bitwiseXOR(pair["1"])
-        any_bit = differ
-        for k in range(1, BITS):
-            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(differ, k))
-        return F.bit_count(any_bit.bitwiseAND(low))
-
-    count = F.aggregate(F.arrays_zip(one.alias("0"), two.alias("1")), F.lit(0), lambda total, pair: total + unequal(pair))
-    equal = 1 - count / F.lit(float(HASHES))
+    low = low if low < 2**63 else low - 2**64
+    terms = []
+    for i in range(LONGS):
+        differ = f"({one}[{i}] ^ {two}[{i}])"
+        any_bit = " | ".join([differ, *(f"shiftrightunsigned({differ}, {k})" for k in range(1, BITS))])
+        terms.append(f"bit_count(({any_bit}) & {low}L)")
+    equal = 1 - F.expr(" + ".join(terms)) / F.lit(float(HASHES))
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
@@ -167,7 +171,18 @@ def _lowest(percent: int) -> float:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those (a, b) whose full sets are similar enough, stored."""
+    """Those (a, b) whose full sets are similar enough, stored.
+
+    Where the pairs are few, their ids are broadcast so that only their texts
+    are shuffled.
+    """
+    pairs = stored(pairs, "pairs")
+    count = pairs.count()
+    if count == 0:
+        return pairs
+    if count <= BROADCAST_PAIRS:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        docs = docs.join(F.broadcast(ids), "id", "left_semi")
     one = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -189,6 +204,55 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return stored(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def bitmaps(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, bits): which of BITMAP hash slots the shingles of each of these
+    documents fall in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text in batch.column(1):
+                marks = np.zeros(BITMAP, np.uint8)
+                marks[(shingles(text.as_py(), width) % np.uint64(BITMAP)).astype(np.int64)] = 1
+                made.append(np.packbits(marks).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "bits"])
+
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids, "id", "left_semi")
+    return texts.select("id", "text").mapInArrow(run, "id long, bits array<long>").dropDuplicates(["id"])
+
+
+def crowded_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different roots, whose sizes and bitmaps
+    leave the similarity possible: a slot that only one side has stands for a
+    shingle that the other lacks. ``members`` has bucket, n, id, root,
+    n_shingles and bits. A bucket is dealt into blocks of about BLOCK members,
+    and two blocks are compared at a time."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, roots, sizes, block = (rows[c].to_numpy() for c in ("id", "root", "n_shingles", "block"))
+        bits = np.stack(rows["bits"].to_numpy()).view(np.uint64)
+        own = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        apart = bool(rows["low"].iloc[0] != rows["high"].iloc[0])
+        found = []
+        for at in range(0, len(ids), 64):
+            part = slice(at, at + 64)
+            both = np.bitwise_count(bits[part, None] & bits[None]).sum(axis=2, dtype=np.int64)
+            most = np.minimum(sizes[part, None] - own[part, None] + both, sizes[None] - own[None] + both)
+            fit = ((100 + percent) * most >= percent * (sizes[part, None] + sizes[None])) & (ids[part, None] < ids[None]) & (roots[part, None] != roots[None])
+            if apart:
+                fit &= block[part, None] != block[None]
+            i, j = np.nonzero(fit)
+            found.append((ids[part][i], ids[j]))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"a": a, "b": b})
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return dealt.select("bucket", "low", "high", "block", "id", "root", "n_shingles", "bits").groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id and kept of every row.
 
@@ -203,43 +267,49 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     made = stored(features(docs, "id", "text", width), "neardup")
     real = made.where("n_shingles > 0")
     classes = stored(real.groupBy("set_digest").agg(F.min("id").alias("id"), F.min_by(F.struct("n_shingles", "bands", "signature"), "id").alias("f")).where("id is not null").select("set_digest", "id", "f.*"), "classes")
-    rows = classes.select("id", F.posexplode("bands").alias("band", "value"))
-    order = F.xxhash64("id")
-    shared = rows.groupBy("band", "value").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("hub"))).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "value", F.col("h.hub").alias("hub"))
-    buckets = stored(rows.join(shared, ["band", "value"]).select("band", "value", "id", "hub"), "buckets")
-
+    # A key is salted with its band, so keys of different bands don't meet.
     sizes = classes.select("id", "n_shingles", "signature")
     left = sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("signature").alias("sig_a"))
     right = sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("signature").alias("sig_b"))
-    possible = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (estimate(F.col("sig_a"), F.col("sig_b")) >= _lowest(percent))
-
-    to_hubs = buckets.where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    hub_pairs = stored(to_hubs.join(left, "a").join(right, "b").where(possible).select("a", "b", "n"), "hub-pairs")
-    best = hub_pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    first = confirm(best, docs, width, percent)
-    roots = components(first)
-
-    def grouped(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """With the root of each side, and only where they differ."""
-        out = pairs
-        for side in ("a", "b"):
-            out = out.join(roots.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-        return out.withColumns({f"root_{s}": F.coalesce(f"root_{s}", s) for s in ("a", "b")}).where("root_a <> root_b")
-
-    second = confirm(grouped(hub_pairs.join(best, ["a", "b"], "left_anti"), roots).select("a", "b"), docs, width, percent)
-    links = first.union(second)
+    possible = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (estimate("sig_a", "sig_b") >= _lowest(percent))
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        return confirm(pairs.join(left, "a").join(right, "b").where(possible).select("a", "b"), docs, width, percent)
+
+    # First the hubs of a few bands, each member with its most frequent one.
+    rows = classes.select("id", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("bucket"))
+    hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("high")).where("hub < high").select("bucket", "hub")
+    to_hubs = rows.join(hubs, "bucket").where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = to_hubs.groupBy(F.col("id").alias("a")).agg(F.max_by("hub", F.struct("n", "hub")).alias("b"))
+    links = tried(best)
+    roots = components(links)
+
+    # Then all bands, each group in a bucket by its least member.
+    def in_buckets() -> DataFrame:
+        named = classes.select("id", "bands").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "bands")
+        return named.select("id", "root", F.explode("bands").alias("bucket"))
+
+    groups = in_buckets().groupBy("bucket", "root").agg(F.min("id").alias("id"))
+    hubs = groups.groupBy("bucket").agg(F.min(F.struct("root", "id")).alias("low"), F.max("root").alias("high")).where("low.root < high").select("bucket", "low")
+    across = groups.join(hubs, "bucket").where(F.col("root") != F.col("low.root")).select(F.col("id").alias("a"), F.col("low.id").alias("b")).distinct()
+    second = tried(across)
     if not second.isEmpty():
+        links = links.union(second)
         roots = components(links)
 
-    # What hubs may have missed: members of one bucket in different groups.
-    member = buckets.join(roots, "id", "left").select("band", "value", "id", F.coalesce("root", "id").alias("root"), "hub")
-    mixed = member.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
-    rest = stored(member.join(mixed, ["band", "value"]).join(sizes, "id"), "mixed")
-    one = rest.select("band", "value", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("n_shingles").alias("size_a"), F.col("signature").alias("sig_a"))
-    two = rest.select("band", "value", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("n_shingles").alias("size_b"), F.col("signature").alias("sig_b"))
-    tested = hub_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = one.join(two, (one.band == two.band) & (one.value == two.value) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    third = confirm(across, docs, width, percent)
+    # At last, members of one bucket that are still in different groups. In
+    # crowded buckets, bitmaps rule out most pairs beforehand.
+    members = in_buckets()
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("bucket", "n")
+    rest = stored(members.join(mixed, "bucket"), "mixed")
+    one = rest.where(F.col("n") <= CROWDED).select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a")).join(left, "a")
+    two = rest.where(F.col("n") <= CROWDED).select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b")).join(right, "b")
+    loose = one.join(two, (one.bucket == two.bucket) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible).select("a", "b")
+    crowded = rest.where(F.col("n") > CROWDED)
+    bits = stored(bitmaps(crowded.select("id").distinct(), docs, width), "bits")
+    dense = crowded_pairs(crowded.join(bits, "id").join(sizes.select("id", "n_shingles"), "id"), percent)
+    third = loose.union(dense).distinct()
+    third = confirm(third, docs, width, percent)
     if not third.isEmpty():
         roots = components(links.union(third))
 
