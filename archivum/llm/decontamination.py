@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from archivum.llm._shared import lower_ascii, stored
 
 WINDOW, GRAM = 10, 5
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``, said by what it has, which is faster.
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 #: The same words before A-Z is lowered.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
 #: So many rows of the benchmark's side may be broadcast.
 BROADCAST_ROWS = 200_000
 #: So many different first words of short items are tested in place.
