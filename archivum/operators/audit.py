@@ -27,6 +27,35 @@ def with_position(df: DataFrame, order: str = "seq") -> DataFrame:
     return ranged.join(before.select("__range", "__before"), "__range").withColumn("position", own + F.col("__before")).drop("__range", "__before")
 
 
+def chained(rows: DataFrame, chain: str) -> DataFrame:
+    """Adds prev_entry_hash and entry_hash to new rows (seq, id, action,
+    memory_id, tenant_id, details_json), in the order of ``seq`` within each
+    chain. A hash covers the one before, so a chain is written by one task, a
+    batch of rows at a time: its rows are ordered, and only the last hash held."""
+    import hashlib
+    import json
+
+    fields = ["id", "action", "memory_id", "tenant_id", "actor_json", "reason", "details_json"]
+
+    def run(batches):
+        last: dict = {}
+        for batch in batches:
+            prev, own = [], []
+            for row in batch.to_dict("records"):
+                before = last.get(row[chain])
+                body = {f: row.get(f) for f in fields} | {"prev_entry_hash": before}
+                digest = hashlib.sha256(json.dumps(body, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+                prev.append(before)
+                own.append(digest)
+                last[row[chain]] = digest
+            batch["prev_entry_hash"], batch["entry_hash"] = prev, own
+            yield batch
+
+    full = rows.withColumns({"actor_json": F.lit("{}"), "reason": F.lit("")})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema) + ", prev_entry_hash string, entry_hash string"
+    return full.repartition(chain).sortWithinPartitions(chain, "seq").mapInPandas(run, schema)
+
+
 def verify_chain(rows: DataFrame, version: int = 2) -> DataFrame:
     """Rows with a hash, each with ``reason``: null, ``content`` (the hash is
     not its content's), ``fork`` (it follows an earlier row than the last) or

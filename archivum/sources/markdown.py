@@ -20,7 +20,7 @@ def parsed(text: Column) -> Column:
     lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^\s*[^#:\s][^:]*:"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(x, "^[^:]*:", "")), '^"(.*)"$', "$1").alias("value")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    body = F.trim(F.regexp_replace(text, r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", ""))
+    body = F.regexp_replace(F.regexp_replace(text, r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", ""), r"\A\s+|\s+\z", "")
     return F.struct(F.map_from_entries(last).alias("front"), body.alias("body"))
 
 
