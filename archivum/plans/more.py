@@ -398,3 +398,42 @@ def t1_orders_by_nation(s, d):
 def t2_pricing_summary(s, d):
     rows = D.read(s, d, "lineitem").where(F.col("l_shipdate") <= ts("1998-09-02 00:00:00"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), counted())
+
+
+# Files, anchors and limits.
+
+
+@query(plain="SELECT page_id, regexp_matches(lower(url), '(^|/)(vendor|dist|build|coverage)/') AS ignored FROM pages")
+def i36_ignored_paths(s, d):
+    from archivum.functions.ignore import ignored
+
+    return D.read(s, d, "pages").select("page_id", ignored(F.regexp_replace("url", "^https?://", "")).alias("ignored"))
+
+
+@query()
+def p6_rate_limit(s, d):
+    from archivum.operators.limits import limited
+
+    events = D.read(s, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return limited(events, "user_id", "at", 3, 3_600_000).select("event_id", "allowed")
+
+
+@query()
+def n3_anchor_breaks(s, d):
+    """Anchors after 10, 20 and 30 rows of a chain; the second is edited."""
+    from archivum.operators import anchors as A
+
+    rows = D.audit_events(s, d).where("tenant_id = 't2'").select("tenant_id", "seq", F.col("id").cast("string").alias("id"), "action", F.col("memory_id").cast("string").alias("memory_id"), "details_json")
+    chain = audit.chained(rows, "tenant_id")
+    heads = audit.with_position(chain).where("position in (10, 20, 30)").select(F.col("position").alias("chainedRows"), F.col("entry_hash").alias("chainHead"))
+    base = heads.select((F.col("chainedRows") / 10 - 1).cast("int").alias("index"), F.lit(1).alias("schemaVersion"), F.lit("2026-01-01T00:00:00.000Z").alias("anchoredAt"), F.lit("t2").alias("tenantId"), "chainedRows", F.when(F.col("chainedRows") == 20, "x").otherwise(F.col("chainHead")).alias("chainHead"), F.lit(None).cast("string").alias("prevAnchorHash"))
+    return A.anchor_breaks(A.with_anchor_hash(base, "anchorHash"), chain)
+
+
+@query("SELECT CAST(id AS VARCHAR) AS path, CASE WHEN id % 3 = 0 THEN 'no_manifest' WHEN id % 3 = 1 THEN 'verified' ELSE 'tampered' END AS state FROM memories")
+def a7_verified_files(s, d):
+    from archivum.operators.anchors import verified_files
+
+    files = D.memories(s, d).select(F.col("id").cast("string").alias("path"), F.col("content").cast("binary").alias("content"), "content_hash", "id")
+    sidecars = files.where("id % 3 > 0").select("path", F.when(F.col("id") % 3 == 1, F.col("content_hash")).otherwise("0").alias("sha256"))
+    return verified_files(files.select("path", "content"), sidecars)

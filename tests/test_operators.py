@@ -123,3 +123,28 @@ def test_markdown(spark, tmp_path):
     for name, body in (("a.md", "x"), ("b.txt", "x"), ("c.MDX", " \n"), (".git/d.md", "x")):
         (tmp_path / name).write_text(body)
     assert [r.path.rsplit("/", 1)[1] for r in markdown.vault(spark, str(tmp_path)).collect()] == ["a.md"]
+
+
+def test_ignore_rules(spark):
+    from archivum.functions.ignore import DEFAULTS, ignored
+
+    paths = {"a/node_modules/x.js": True, "node_modules/x": True, "src/app.MIN.js": True, "src/app.js": False, "LICENSE.txt": True, "docs/keep/LICENSE": False, "/root.txt": True, "sub/root.txt": True, "a/b1.c": True}
+    frame = spark.createDataFrame([(p,) for p in paths], "p string")
+    rules = [*DEFAULTS, "# comment", "", "!docs/keep/**", "/root.txt", "b?.c"]
+    assert {r.p: r.i for r in frame.select("p", ignored(F.col("p"), rules).alias("i")).collect()} == paths
+
+
+def test_limits(spark):
+    from archivum.operators.limits import limited
+
+    events = spark.createDataFrame([("a", t) for t in (0, 1, 2, 10, 11, 12, 13)] + [("b", 5), (None, 1)], "k string, t long")
+    got = [(r.k, r.t) for r in limited(events, "k", "t", 2, 10).where("not allowed").collect()]
+    assert sorted(got) == [("a", 2), ("a", 10), ("a", 13)]
+
+
+def test_breaks_and_files(spark):
+    from archivum.operators import anchors
+
+    breaks = spark.createDataFrame([("1", "h", None, 2, 1, "content"), ("2", "h", "p", 2, 2, "content"), ("3", "h", "p", 2, 3, "fork")], "id string, entry_hash string, prev_entry_hash string, hash_version int, seq int, reason string")
+    manifest = breaks.withColumn("seq", F.when(F.col("id") == "2", 9).otherwise(F.col("seq")))
+    assert {r.id: r["class"] for r in anchors.classified(breaks, manifest).collect()} == {"1": "documented", "2": "tamper", "3": "fork"}
