@@ -437,3 +437,31 @@ def a7_verified_files(s, d):
     files = D.memories(s, d).select(F.col("id").cast("string").alias("path"), F.col("content").cast("binary").alias("content"), "content_hash", "id")
     sidecars = files.where("id % 3 > 0").select("path", F.when(F.col("id") % 3 == 1, F.col("content_hash")).otherwise("0").alias("sha256"))
     return verified_files(files.select("path", "content"), sidecars)
+
+
+# Heuristics.
+
+
+@query(plain="SELECT doc_id AS id, CASE WHEN regexp_matches(lower(substr(text, 1, 600)), 'apache license|mit license|gnu general public license|gnu lesser general public license|mozilla public license|permission is hereby granted, free of charge|redistribution and use in source and binary forms') THEN 'license' ELSE 'other' END AS noise FROM documents WHERE length(text) < 900")
+def i37_noise(s, d):
+    from archivum.functions.heuristics import noise
+
+    rows = D.memories(s, d).where("length(content) < 900")
+    return rows.select("id", F.coalesce(noise(F.col("content"), F.col("title")), F.lit("other")).alias("noise"))
+
+
+@query(plain="SELECT page_id, CASE WHEN regexp_matches(lower(url), '/(decisions|adrs?)(/|$)') THEN 'decision' ELSE 'other' END AS category FROM pages")
+def i21_path_category(s, d):
+    from archivum.functions.heuristics import path_category
+
+    category = path_category(F.col("url"))
+    return D.read(s, d, "pages").select("page_id", F.when(category == "decision", category).otherwise("other").alias("category"))
+
+
+@query()
+def o13_groundedness(s, d):
+    """Each record's title as a claim about its content."""
+    from archivum.functions.heuristics import grounded, support
+
+    rows = D.memories(s, d).where("length(content) < 900")
+    return rows.select("id", F.round(support(F.col("title"), F.col("content")), 6).alias("support"), grounded(F.col("title"), F.col("content")).alias("grounded"))

@@ -148,3 +148,18 @@ def test_breaks_and_files(spark):
     breaks = spark.createDataFrame([("1", "h", None, 2, 1, "content"), ("2", "h", "p", 2, 2, "content"), ("3", "h", "p", 2, 3, "fork")], "id string, entry_hash string, prev_entry_hash string, hash_version int, seq int, reason string")
     manifest = breaks.withColumn("seq", F.when(F.col("id") == "2", 9).otherwise(F.col("seq")))
     assert {r.id: r["class"] for r in anchors.classified(breaks, manifest).collect()} == {"1": "documented", "2": "tamper", "3": "fork"}
+
+
+def test_heuristics(spark):
+    from archivum.functions import heuristics as Hx
+
+    rows = [("We use three shards", "The store uses 3 shards.", True), ("We use 4 shards", "The store uses 3 shards.", False), ("Do not use shards", "Use shards here", False), ("Cats like milk", "Dogs drink water", False), ("", "anything", True)]
+    frame = spark.createDataFrame(rows, "c string, e string, g boolean")
+    for r in frame.select("c", "g", Hx.grounded(F.col("c"), F.col("e"), 0.5).alias("x")).collect():
+        assert r.x == r.g, r.c
+    paths = spark.createDataFrame([("Docs/ADR/my-first_note.md", "decision", "My First Note"), ("x/API/debug/a.md", "reference", "A"), ("plain.txt", "reference", "Plain")], "p string, c string, t string")
+    for r in paths.select("*", Hx.path_category(F.col("p")).alias("pc"), Hx.path_title(F.col("p")).alias("pt")).collect():
+        assert (r.pc, r.pt) == (r.c, r.t)
+    texts = spark.createDataFrame([("x", " Untitled ", "untitled"), ("MIT License text", "t", "license"), ("a" * 1200, "t", "minified"), ("plain words here", "t", None)], "c string, t string, n string")
+    for r in texts.select("n", Hx.noise(F.col("c"), F.col("t")).alias("x")).collect():
+        assert r.x == r.n
