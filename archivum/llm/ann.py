@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by largest inner product (IVF-PQ).
 
-An inverted file of coarse centroids, product-quantised residuals, asymmetric
+An inverted file of coarse centroids, product-quantised residuals (in units
+of their list's spread), asymmetric
 distance tables, and exact reranking. Centroids and codebooks are fitted on a
 bounded sample; every vector is indexed. How many lists a query probes is
 chosen on the sample, so that they hold TARGET of its true neighbours.
@@ -26,7 +27,7 @@ from archivum.llm._shared import for_python, stored
 SAMPLE = 20_000
 LISTS, CODES, SUBSPACE = 1024, 256, 2
 #: Share of the sample's true neighbours that the probed lists must hold.
-TARGET, TRIALS = 0.98, 256
+TARGET, TRIALS = 0.99, 256
 #: Candidates of a query that are reranked exactly.
 RERANK = 160
 SHARD_ROWS, BLOCK_QUERIES, LEAST_BLOCK, GROUPS = 131_072, 65_536, 512, 64
@@ -74,11 +75,21 @@ class Index:
         self.centres = cluster(sample, self.lists, rng)
         own = nearest(sample, self.centres)
         residuals = self.padded(sample - self.centres[own])
+        # Residuals in units of their list's mean square, so that the codes of
+        # a dense list are as fine as it needs.
+        square = np.bincount(own, (residuals**2).sum(axis=(1, 2)), self.lists) / np.maximum(np.bincount(own, minlength=self.lists), 1)
+        self.scales = np.sqrt(np.maximum(square, 1e-12)).astype(np.float32)
+        residuals /= self.scales[own][:, None, None]
         self.books = np.stack([cluster(np.ascontiguousarray(residuals[:, p]), min(CODES, n), rng, 6) for p in range(self.parts)])
         self.probes = self.lists
         if n > 4 * k:
-            tried = sample[rng.choice(n, min(TRIALS, n), replace=False)]
-            best = np.argpartition(-(tried @ sample.T), k, axis=1)[:, : k + 1]
+            # Different vectors that are not themselves among their neighbours,
+            # or a vector that many rows share would speak for the rest.
+            tried = np.unique(sample[rng.choice(n, min(4 * TRIALS, n), replace=False)], axis=0)
+            tried = tried[rng.permutation(len(tried))[:TRIALS]]
+            near = tried @ sample.T
+            near[(tried[:, None, 0] == sample[None, :, 0]) & (near >= near.max(axis=1, keepdims=True))] = -np.inf
+            best = np.argpartition(-near, k, axis=1)[:, :k]
             order = np.argsort(-(tried @ self.centres.T), axis=1)
             place = np.argsort(order, axis=1)
             self.probes = int(np.quantile(np.take_along_axis(place, own[best], axis=1), TARGET)) + 1
@@ -91,7 +102,7 @@ class Index:
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """List and codes of each vector."""
         own = nearest(x, self.centres)
-        residuals = self.padded(x - self.centres[own])
+        residuals = self.padded(x - self.centres[own]) / self.scales[own][:, None, None]
         return own, np.stack([nearest(residuals[:, p], self.books[p]) for p in range(self.parts)], axis=1).astype(np.uint8)
 
     def probed(self, queries: np.ndarray) -> np.ndarray:
@@ -115,10 +126,10 @@ class Index:
             for k, rows in members:
                 asking = np.flatnonzero(may[at:stop, k])
                 if len(asking):
-                    sums = np.repeat(coarse[at:stop][asking, k][:, None], len(rows), axis=1)
+                    sums = np.zeros((len(asking), len(rows)), np.float32)
                     for p in range(self.parts):
                         sums += tables[p][asking][:, codes[rows, p]]
-                    scores[asking[:, None], rows[None]] = sums
+                    scores[asking[:, None], rows[None]] = coarse[at:stop][asking, k][:, None] + self.scales[k] * sums
             scores[query_ids[at:stop, None] == ids[None]] = -np.inf
             n = min(keep, len(ids))
             least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
