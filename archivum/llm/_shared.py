@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,10 @@ from archivum.shipping import ship
 
 #: Rows of one Arrow batch handed to Python. Texts are unbounded, so batches
 #: are kept short in rows.
-MAX_ROWS_PER_BATCH = 1000
+MAX_ROWS_PER_BATCH = 400
+
+
+_own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, one machine) a temporary folder is made and set.
+    unset (tests, one machine) a temporary folder is made.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="archivum-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="archivum-")
+        where = _own_dirs[app]
     return where.rstrip("/")
 
 
@@ -56,6 +63,15 @@ def for_python(spark: SparkSession) -> None:
         spark.conf.set(key, str(MAX_ROWS_PER_BATCH))
 
 
+def release_memory() -> None:
+    """Give a task's freed memory back to the system: workers live on, several
+    to an executor, and what each holds counts against it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lower_ascii(text):
     """A-Z to a-z and nothing else; ``lower`` would fold other scripts too."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

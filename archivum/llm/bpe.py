@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivum.llm._shared import for_python
+from archivum.llm._shared import for_python, release_memory
 
 #: Pieces whose ids a worker remembers; beyond it the memo starts anew.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 200_000
 #: More than the largest rank.
 STEP = 1 << 20
 
@@ -266,10 +266,14 @@ def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _replay(shared, pattern)
+        flat = offsets = lists = batch = None
         for batch in batches:
             flat, offsets = coder.encode(batch.column(0).to_pylist())
             lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat, pa.int32())).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*keep, ids])
+        del flat, offsets, lists, batch
+        coder.forget()
+        release_memory()
 
     narrow = df.select(F.col(text).alias("__text"), *keep)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
@@ -291,6 +295,7 @@ def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], keep: list[str], ou
         flat = np.frombuffer(b"".join(tokens), np.uint8)
         lengths = np.array([len(x) for x in tokens], np.int64)
         starts = np.cumsum(lengths) - lengths
+        which = sizes = data = made = lists = batch = None
         for batch in batches:
             lists = batch.column(0).fill_null([])
             which = lists.flatten().to_numpy(zero_copy_only=False)
@@ -299,6 +304,8 @@ def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], keep: list[str], ou
             data = gather(flat, starts[which], lengths[which])
             made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(sizes[counts].astype(np.int64)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], made.cast(pa.binary())], names=[*keep, out])
+        del which, sizes, data, made, lists, batch
+        release_memory()
 
     narrow = df.select(F.col(ids).alias("__ids"), *keep)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType())])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivum.llm._shared import bounded_sample, for_python, stored
+from archivum.llm._shared import bounded_sample, for_python, release_memory, stored
 
 #: Words whose counts every task has, at most.
 HOT = 131_072
@@ -276,6 +276,8 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
     sampled = bounded_sample(training.select(F.col(key).alias("k"), F.lit(0).alias("g"), F.col(text).alias("text")), training.select(F.col(key).alias("k"), F.col(text).alias("text")), "k", "g", "text", SAMPLE_TEXTS)
     lookup = lambda found: np.array([numbers.get(x, 1) for x in found], np.int32)
     network = train([lookup(words(t)) for _, t in sampled], token_counts)
+    del sampled
+    release_memory()
 
     base_floor, other_floor = np.log10(total + 0.5 * (distinct + 1)), np.log10(other + 0.5 * (other_distinct + 1))
     hot_counts = np.array([hot[x] for x in ordered], float)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivum.llm._shared import for_python, stored
+from archivum.llm._shared import for_python, release_memory, stored
 from archivum.llm.components import components
 
 ROWS, BANDS = 5, 36
@@ -143,6 +143,7 @@ def features(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
             counts, digests, bands, signatures = _features(batch.column(1).to_pylist(), width)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(signatures, longs)], names=["id", "n_shingles", "set_digest", "bands", "signature"])
+        release_memory()
 
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_shingles long, set_digest binary, bands array<long>, signature array<long>")
 
@@ -200,6 +201,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 if len(own) and 100 * common >= percent * (len(own) + len(last_set) - common):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+        release_memory()
 
     return stored(both.mapInArrow(run, "a long, b long").distinct(), "links")
 

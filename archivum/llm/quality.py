@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivum.llm._shared import bounded_sample, for_python
+from archivum.llm._shared import bounded_sample, for_python, release_memory
 
 SEGMENT = 128
 WIDTH, STRIDE = 8, 4
@@ -31,7 +31,7 @@ SAMPLE_PER_CLASS = 1500
 FIT_SEGMENTS = 24
 EPOCHS = 12
 #: Segments of one step of scoring.
-BLOCK = 4096
+BLOCK = 1024
 POSITIONS = SEGMENT // STRIDE
 
 
@@ -204,7 +204,10 @@ def learn(labels: DataFrame, docs: DataFrame, key: str, text: str, label: str, p
     shares = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     samples = bounded_sample(known, docs, key, label, text, per_class)
     seen = {c: sum(1 for x, _ in samples if x == c) for c in shares}
-    return fit(samples, {c: shares[c] / max(1, seen[c]) for c in shares})
+    network = fit(samples, {c: shares[c] / max(1, seen[c]) for c in shares})
+    del samples
+    release_memory()
+    return network
 
 
 def predict(df: DataFrame, network: Network, threshold: float, text: str = "text", keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
@@ -222,6 +225,7 @@ def predict(df: DataFrame, network: Network, threshold: float, text: str = "text
             batch["score"] = own.score(batch.pop("__text").tolist())
             batch["predicted"] = (batch["score"] >= threshold).astype("int32")
             yield batch
+        release_memory()
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivum.llm._shared import bounded_sample, for_python
+from archivum.llm._shared import bounded_sample, for_python, release_memory
 
 #: Insults, in alphabetical order.
 LEXICON = (
@@ -178,7 +178,9 @@ def learn(labels: DataFrame, docs: DataFrame, key: str, text: str, label: str, p
     and 1, and those without a document, don't take part."""
     known = labels.where(F.col(label).isin(0, 1)).select(key, label)
     shares = {0: 0, 1: 0} | {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    return fit(bounded_sample(known, docs, key, label, text, per_class), shares)
+    model = fit(bounded_sample(known, docs, key, label, text, per_class), shares)
+    release_memory()
+    return model
 
 
 def predict(df: DataFrame, model: Classifier, threshold: float = 0.5, text: str = "text", keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
