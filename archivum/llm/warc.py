@@ -31,7 +31,9 @@ CHUNK = 1 << 20
 HEADER_LIMIT = 1 << 16
 #: A task begins a new file beyond this.
 ARCHIVE_BYTES = 1 << 30
-SPLIT_BYTES = 32 << 20
+SPLIT_BYTES = 8 << 20
+#: Tasks that read archives, at most; each then takes several ranges.
+READ_TASKS = 20_000
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:archivum:page:"
@@ -211,7 +213,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     """
     for_python(manifest.sparkSession)
     splits = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    splits = splits.repartition("path", "start")
+    # The ranges are few rows but much work: a task for each, up to READ_TASKS.
+    count = manifest.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0]
+    splits = splits.repartition(max(1, min(READ_TASKS, int(count or 0))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
