@@ -477,12 +477,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from archivum.plans import more  # noqa: F401  registers its own
+    from archivum.plans import extra, more  # noqa: F401  they register their own
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from archivum.plans import more  # noqa: F401
+    from archivum.plans import extra, more  # noqa: F401
 
     return dict(_sql)

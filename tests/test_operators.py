@@ -37,7 +37,7 @@ def test_entropy(spark):
 
 
 def test_small_text_functions(spark):
-    row = spark.createDataFrame([("see [[one]] and [[two|text]] not `[[three]]`", "qmd://x/some-file_name.v2.md", "ssh://git@Host.com:team/Repo.git", "token = abcdefgh12 at a@b.org")], "w string, c string, u string, s string")
+    row = spark.createDataFrame([("see [[one]] and [[two|text]] not `[[three]]`", "kb://x/some-file_name.v2.md", "ssh://git@Host.com:team/Repo.git", "token = abcdefgh12 at a@b.org")], "w string, c string, u string, s string")
     got = row.select(T.wiki_links(F.col("w")).alias("w"), T.citation_id(F.col("c")).alias("c"), T.citation_title(F.col("c")).alias("t"), T.normalized_url(F.col("u")).alias("u"), T.sensitivity(F.col("s")).alias("s"), T.redact(F.col("s"), T.PII).alias("r")).first()
     assert got.w == ["one", "two"] and got.c == "some-file_name.v2" and got.t == "some file name.v2"
     assert got.u == "host.com/team/repo" and got.s == "restricted" and got.r.endswith("at [REDACTED:email]")
