@@ -254,8 +254,26 @@ def _replay(shared, pattern: str) -> MergeReplay:
     return _replays[0][1]
 
 
-def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, keep: list[str], ids: str = "ids") -> DataFrame:
-    """The columns ``keep`` and the token ids of ``text`` as ``array<int>``.
+class Decoder:
+    """Bytes of lists of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lengths = np.array([len(x) for x in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def __call__(self, which: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        sizes = np.concatenate(([0], np.cumsum(self.lengths[which])))
+        data = gather(self.flat, self.starts[which], self.lengths[which])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(sizes[offsets].astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, keep: list[str], ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The columns ``keep`` and the token ids of ``text`` as ``array<int>``;
+    with ``decoded`` also the bytes that the ids stand for, in the same pass.
 
     A null or empty text has no ids. Repeated rows stay repeated, an empty
     table gives an empty one, and other columns of ``df`` don't matter.
@@ -266,17 +284,19 @@ def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _replay(shared, pattern)
+        decoder = Decoder(shared.value) if decoded else None
         flat = offsets = lists = batch = None
         for batch in batches:
             flat, offsets = coder.encode(batch.column(0).to_pylist())
             lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat, pa.int32())).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*keep, ids])
-        del flat, offsets, lists, batch
+            back = [decoder(flat, offsets)] if decoder else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists, *back], names=[*keep, ids, *([decoded] if decoded else [])])
+        del flat, offsets, lists, batch, decoder
         coder.forget()
         release_memory()
 
     narrow = df.select(F.col(text).alias("__text"), *keep)
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])])
     return narrow.mapInArrow(run, schema)
 
 
@@ -289,22 +309,13 @@ def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], keep: list[str], ou
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: list[bytes] = [b""] * (max(shared.value.values(), default=-1) + 1)
-        for token, rank in shared.value.items():
-            tokens[rank] = token
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
-        lengths = np.array([len(x) for x in tokens], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        which = sizes = data = made = lists = batch = None
+        decoder = Decoder(shared.value)
         for batch in batches:
             lists = batch.column(0).fill_null([])
-            which = lists.flatten().to_numpy(zero_copy_only=False)
-            counts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-            sizes = np.concatenate(([0], np.cumsum(lengths[which])))
-            data = gather(flat, starts[which], lengths[which])
-            made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(sizes[counts].astype(np.int64)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], made.cast(pa.binary())], names=[*keep, out])
-        del which, sizes, data, made, lists, batch
+            offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+            made = decoder(lists.flatten().to_numpy(zero_copy_only=False), offsets)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], names=[*keep, out])
+        lists = made = batch = None
         release_memory()
 
     narrow = df.select(F.col(ids).alias("__ids"), *keep)

@@ -50,8 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text."""
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
-    coded = bpe.encode(docs, "text", ranks, public_tokenizers.PATTERN, ["doc_id", "lang", "source", "text"])
-    back = bpe.decode(coded, "ids", ranks, ["doc_id", "lang", "source", "text", "ids"])
+    back = bpe.encode(docs, "text", ranks, public_tokenizers.PATTERN, ["doc_id", "lang", "source", "text"], decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
