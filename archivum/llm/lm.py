@@ -1,9 +1,11 @@
 """Language-model scores of whole documents.
 
 Word counts come from all training texts. The model is a gated recurrent
-network in numpy over the most frequent words: trained by truncated
-backpropagation on a bounded sample, its output softmax factored into classes
-of words, its state carried from window to window through a whole document.
+network in numpy over the most frequent words, more of them the more distinct
+words there are: started by truncated backpropagation on a bounded sample, then
+trained on every training text by a copy in each task, whose weights are
+averaged; its output softmax factored into classes of words, its state carried
+from window to window through a whole document.
 A word outside its vocabulary has the probability that the network gives to
 "another word", times the word's share of the counts of such words.
 
@@ -29,12 +31,14 @@ from archivum.llm._shared import bounded_sample, for_python, release_memory, sto
 HOT = 131_072
 #: A task hands on its counts when it holds so many words.
 HELD = 400_000
-CLASSES, CLASS_WORDS = 32, 32
-#: Words that the network knows: all but "another word" and the end.
-VOCABULARY = CLASSES * CLASS_WORDS - 2
+#: Classes, and words of a class, at least (see ``side_for``).
+CLASSES = 32
 HIDDEN = 16
 WINDOW, LANES = 24, 48
 SAMPLE_TEXTS, EPOCHS = 1200, 2
+#: Streams side by side and rate of the pass over all texts, and parts in which
+#: the tasks' weights are averaged.
+WIDE, RATE, PARTS = 512, 0.002, 64
 #: Steps of a window of scoring, and tokens scored together.
 STEPS, TOKENS = 64, 400_000
 
@@ -82,28 +86,34 @@ def hot_words(counts: DataFrame, most: int = HOT) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in counts.where(step >= least).collect()}
 
 
+def side_for(distinct: int) -> int:
+    """Classes of the network, and words of each: their product grows as twice
+    the square root of the distinct words."""
+    return max(CLASSES, int(np.ceil(np.sqrt(2 * np.sqrt(distinct)))))
+
+
 class Network:
     """Tokens are numbered by falling frequency: 0 the end, 1 another word,
-    then words; token // CLASS_WORDS is a token's class."""
+    then words; token // side is a token's class."""
 
-    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 11):
+    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 11, side: int = CLASSES):
         if weights is None:
             rng = np.random.default_rng(seed)
             normal = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
-            tokens, h = CLASSES * CLASS_WORDS, HIDDEN
+            tokens, h = side * side, HIDDEN
             weights = {
                 "input": normal(tokens, 3 * h, scale=0.1),
                 "state": normal(h, 3 * h, scale=h**-0.5),
-                "class": normal(h, CLASSES, scale=0.1),
-                "class_bias": np.zeros(CLASSES, np.float32),
-                "word": normal(CLASSES, h, CLASS_WORDS, scale=0.1),
-                "word_bias": np.zeros((CLASSES, CLASS_WORDS), np.float32),
+                "class": normal(h, side, scale=0.1),
+                "class_bias": np.zeros(side, np.float32),
+                "word": normal(side, h, side, scale=0.1),
+                "word_bias": np.zeros((side, side), np.float32),
             }
-        self.weights = weights
+        self.weights, self.side = weights, len(weights["class_bias"])
 
     def start(self, counts: np.ndarray) -> None:
         """Biases that make the untrained network a unigram model."""
-        share = np.log((counts + 0.5) / (counts.sum() + 0.5 * len(counts))).reshape(CLASSES, CLASS_WORDS)
+        share = np.log((counts + 0.5) / (counts.sum() + 0.5 * len(counts))).reshape(self.side, self.side)
         top = share.max(axis=1, keepdims=True)
         self.weights["class_bias"] = (top[:, 0] + np.log(np.exp(share - top).sum(axis=1))).astype(np.float32)
         self.weights["word_bias"] = share.astype(np.float32)
@@ -121,17 +131,17 @@ class Network:
         """Natural logs of the targets' probabilities after these states."""
         w = self.weights
         logits = states @ w["class"] + w["class_bias"]
-        kinds = targets // CLASS_WORDS
+        kinds = targets // self.side
         rows = np.arange(len(targets))
         out = logits[rows, kinds] - np.log(np.exp(logits).sum(axis=1))
         order = np.argsort(kinds, kind="stable")
-        ends = np.cumsum(np.bincount(kinds, minlength=CLASSES))
+        ends = np.cumsum(np.bincount(kinds, minlength=self.side))
         start = 0
         for kind, end in enumerate(ends.tolist()):
             if end > start:
                 own = order[start:end]
                 inner = states[own] @ w["word"][kind] + w["word_bias"][kind]
-                out[own] += inner[np.arange(end - start), targets[own] % CLASS_WORDS] - np.log(np.exp(inner).sum(axis=1))
+                out[own] += inner[np.arange(end - start), targets[own] % self.side] - np.log(np.exp(inner).sum(axis=1))
             start = end
         return out
 
@@ -179,7 +189,7 @@ class Network:
             trace[-1] += (state,)
         states = np.concatenate([x[-1] for x in trace])
         flat = targets.ravel()
-        kinds, rows, scale = flat // CLASS_WORDS, np.arange(len(flat)), 1.0 / len(flat)
+        kinds, rows, scale = flat // self.side, np.arange(len(flat)), 1.0 / len(flat)
         grads = {k: np.zeros_like(v) for k, v in w.items()}
         logits = states @ w["class"] + w["class_bias"]
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -193,7 +203,7 @@ class Network:
             inner = states[own] @ w["word"][kind] + w["word_bias"][kind]
             q = np.exp(inner - inner.max(axis=1, keepdims=True))
             q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(own)), flat[own] % CLASS_WORDS] -= 1
+            q[np.arange(len(own)), flat[own] % self.side] -= 1
             q *= scale
             grads["word"][kind], grads["word_bias"][kind] = states[own].T @ q, q.sum(axis=0)
             d_states[own] += q @ w["word"][kind].T
@@ -210,19 +220,48 @@ class Network:
             d_inputs[t] = np.concatenate((d_reset, d_keep, d_new), axis=1)
             grads["state"] += before.T @ d_sum
             back = (d * keep + d_sum @ w["state"].T) * ~fresh[t][:, None]
-        np.add.at(grads["input"], tokens.ravel(), d_inputs.reshape(-1, 3 * h))
+        order = np.argsort(tokens.ravel(), kind="stable")
+        found = tokens.ravel()[order]
+        starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        grads["input"][found[starts]] = np.add.reduceat(d_inputs.reshape(-1, 3 * h)[order], starts)
         return grads, state
 
 
-def train(documents: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
+class Adam:
+    """Steps of a network over windows of streams side by side."""
+
+    def __init__(self, network: Network):
+        self.network, self.steps = network, 0
+        self.first = {k: np.zeros_like(v) for k, v in network.weights.items()}
+        self.second = {k: np.zeros_like(v) for k, v in network.weights.items()}
+
+    def fit(self, stream: np.ndarray, begins: np.ndarray, lanes: int, length: int, window: int, rate) -> None:
+        """``rate`` is a function of the number of the step."""
+        w, first, second = self.network.weights, self.first, self.second
+        targets = stream[: lanes * length].reshape(lanes, length).T
+        fresh = begins[: lanes * length].reshape(lanes, length).T.copy()
+        fresh[0] = True
+        tokens = np.vstack((np.zeros((1, lanes), targets.dtype), targets[:-1]))
+        tokens = np.where(fresh, 0, tokens)
+        state = np.zeros((lanes, HIDDEN), np.float32)
+        for at in range(0, length, window):
+            part = slice(at, at + window)
+            grads, state = self.network.gradients(tokens[part], targets[part], fresh[part], state)
+            self.steps += 1
+            step = self.steps
+            for k, g in grads.items():
+                first[k] += 0.1 * (g - first[k])
+                second[k] += 0.01 * (g * g - second[k])
+                w[k] = w[k] - (rate(step) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+
+
+def train(documents: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, seed: int = 11, side: int = CLASSES) -> Network:
     """Adam over windows of streams of whole documents, in a fixed order."""
-    network = Network(seed=seed)
+    network = Network(seed=seed, side=side)
     network.start(counts)
-    w = network.weights
+    adam = Adam(network)
     rng = np.random.default_rng(seed)
-    first = {k: np.zeros_like(v) for k, v in w.items()}
-    second = {k: np.zeros_like(v) for k, v in w.items()}
-    total, step = sum(len(d) + 1 for d in documents), 0
+    total = sum(len(d) + 1 for d in documents)
     lanes = max(1, min(LANES, total // (4 * WINDOW)))
     length = total // lanes // WINDOW * WINDOW
     planned = epochs * (length // WINDOW)
@@ -232,24 +271,78 @@ def train(documents: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS,
             stream.append(np.append(documents[k], 0)), begins.append(np.eye(1, len(documents[k]) + 1, dtype=bool)[0])
         if not length:
             break
-        targets = np.concatenate(stream)[: lanes * length].reshape(lanes, length).T
-        fresh = np.concatenate(begins)[: lanes * length].reshape(lanes, length).T.copy()
-        fresh[0] = True
-        tokens = np.vstack((np.zeros((1, lanes), targets.dtype), targets[:-1]))
-        tokens = np.where(fresh, 0, tokens)
-        state = np.zeros((lanes, HIDDEN), np.float32)
-        for at in range(0, length, WINDOW):
-            part = slice(at, at + WINDOW)
-            grads, state = network.gradients(tokens[part], targets[part], fresh[part], state)
-            step += 1
-            rate = 0.01 * (1 - step / (planned + 1))
-            for k, g in grads.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                w[k] = w[k] - (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        adam.fit(np.concatenate(stream), np.concatenate(begins), lanes, length, WINDOW, lambda step: 0.01 * (1 - step / (planned + 1)))
     return network
 
 
+def fit_all(network: Network, documents: Iterator[np.ndarray]) -> int:
+    """One pass over all documents, some TOKENS tokens at a time; tokens that
+    fill no window of all streams wait for the next ones, and the last ones are
+    taken in fewer streams. The number of tokens, all of them fitted."""
+    adam = Adam(network)
+    stream, begins, held, done = [], [], 0, 0
+
+    def fit(least: int) -> None:
+        nonlocal stream, begins, held, done
+        rest, fresh = np.concatenate(stream), np.concatenate(begins)
+        while len(rest) > least:
+            lanes = max(1, min(WIDE, len(rest) // (4 * WINDOW)))
+            window = min(WINDOW, len(rest))
+            length = len(rest) // lanes // window * window
+            adam.fit(rest, fresh, lanes, length, window, lambda _: RATE)
+            done += lanes * length
+            rest, fresh = rest[lanes * length :], fresh[lanes * length :]
+        stream, begins, held = [rest], [fresh], len(rest)
+
+    for tokens in documents:
+        stream.append(np.append(tokens, 0).astype(np.int32)), begins.append(np.eye(1, len(tokens) + 1, dtype=bool)[0])
+        held += len(tokens) + 1
+        if held > TOKENS:
+            fit(WIDE * 4 * WINDOW)
+    if held:
+        fit(0)
+    return done
+
+
+def train_everywhere(training: DataFrame, text: str, network: Network, numbers: dict[bytes, int]) -> tuple[Network, int]:
+    """``network`` after a pass of each task over its rows, their weights
+    averaged by tokens; and the number of tokens, those of all rows. The
+    average is taken in parts, so no task holds all weights of all tasks."""
+    from pyspark import TaskContext
+
+    shared = training.sparkSession.sparkContext.broadcast((numbers, network.weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, weights = shared.value
+        net = Network(dict(weights))
+        found = (words(value.as_py()) for batch in batches for value in batch.column(0))
+        n = fit_all(net, (np.frombuffer(array("i", map(numbers.get, x, repeat(1))), np.int32) for x in found))
+        flat = np.concatenate([net.weights[k].ravel() for k in sorted(net.weights)])
+        release_memory()
+        if n:
+            for k, part in enumerate(np.array_split(flat, PARTS)):
+                arrays = [pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([part.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "task", "n", "weights"])
+
+    def mean(rows):
+        rows = rows.sort_values("task")
+        total = sum(np.frombuffer(w, np.float32).astype(float) * n for w, n in zip(rows["weights"], rows["n"]))
+        rows, n = rows.iloc[:1].copy(), int(rows["n"].sum())
+        rows["weights"], rows["n"] = [(total / n).astype(np.float32).tobytes()], [n]
+        return rows[["part", "n", "weights"]]
+
+    made = training.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "part int, task int, n long, weights binary")
+    found = sorted(made.groupBy("part").applyInPandas(mean, "part int, n long, weights binary").collect())
+    if not found:
+        return network, 0
+    flat, at, weights = np.concatenate([np.frombuffer(r.weights, np.float32) for r in found]), 0, {}
+    for k in sorted(network.weights):
+        old = network.weights[k]
+        weights[k] = flat[at : at + old.size].reshape(old.shape)
+        at += old.size
+    return Network(weights), found[0].n
+
+
 def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """The columns ``keep`` and n_tokens, n_known, train_tokens, base_score
     (add-half unigram) and score (the network), log10 of the whole text.
@@ -266,17 +359,20 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
     total, distinct = row.n + ends, row.v + (1 if ends else 0)
     hot = hot_words(counts)
     ordered = sorted(hot, key=lambda x: (-hot[x], x))
-    numbers = {x: 2 + k for k, x in enumerate(ordered[:VOCABULARY])}
-    inside = sum(hot[x] for x in ordered[:VOCABULARY])
+    side = side_for(row.v)
+    vocabulary = side * side - 2  # all but "another word" and the end
+    numbers = {x: 2 + k for k, x in enumerate(ordered[:vocabulary])}
+    inside = sum(hot[x] for x in numbers)
     other, other_distinct = row.n - inside, row.v - len(numbers)
 
-    token_counts = np.zeros(CLASSES * CLASS_WORDS)
+    token_counts = np.zeros(side * side)
     token_counts[:2] = ends, other
-    token_counts[2 : 2 + len(numbers)] = [hot[x] for x in ordered[:VOCABULARY]]
+    token_counts[2 : 2 + len(numbers)] = [hot[x] for x in numbers]
     sampled = bounded_sample(training.select(F.col(key).alias("k"), F.lit(0).alias("g"), F.col(text).alias("text")), training.select(F.col(key).alias("k"), F.col(text).alias("text")), "k", "g", "text", SAMPLE_TEXTS)
     lookup = lambda found: np.array([numbers.get(x, 1) for x in found], np.int32)
-    network = train([lookup(words(t)) for _, t in sampled], token_counts)
+    network = train([lookup(words(t)) for _, t in sampled], token_counts, side=side)
     del sampled
+    network, _ = train_everywhere(training, text, network, numbers)
     release_memory()
 
     base_floor, other_floor = np.log10(total + 0.5 * (distinct + 1)), np.log10(other + 0.5 * (other_distinct + 1))
@@ -292,7 +388,7 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
         ordered, weights, base_terms, other_terms = shared.value
         place = {x: k for k, x in enumerate(ordered)}
         net, cold = Network(weights), len(ordered)
-        known_words = min(VOCABULARY, cold)
+        known_words = min(vocabulary, cold)
         item = pa.struct([("word", pa.binary()), ("n", pa.int64())])
 
         def out(batch, done: int, documents, sums) -> pa.RecordBatch:

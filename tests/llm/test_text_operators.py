@@ -220,6 +220,24 @@ def test_language_model_windows_carry_state():
         assert score == pytest.approx(total, rel=1e-4)
 
 
+def test_language_model_fits_all_rows(spark):
+    """Rows beyond the bounded sample teach the network, each token once."""
+    import numpy as np
+
+    assert lm.side_for(3_000_000) > lm.side_for(300_000) > lm.CLASSES
+    rows = [(k, " ".join(f"w{(k + j) % 50}" for j in range(k % 40))) for k in range(lm.SAMPLE_TEXTS + 2000)] + [(-1, None)]
+    training = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    numbers = {f"w{k}".encode(): 2 + k for k in range(50)}
+    start = lm.Network()
+    fitted, n = lm.train_everywhere(training, "text", start, numbers)
+    assert n == sum(len(lm.words(t)) + 1 for _, t in rows)
+    documents = [np.array([numbers[w] for w in lm.words(t)], np.int32) for _, t in rows]
+    assert fitted.score(documents).sum() > start.score(documents).sum()
+    assert lm.fit_all(lm.Network(), iter(documents[:7])) == sum(len(d) + 1 for d in documents[:7])
+    empty, none = lm.train_everywhere(training.limit(0), "text", start, numbers)
+    assert none == 0 and empty is start
+
+
 def test_queries_of_the_smallest_tables(spark, data):
     from archivum.llm import queries
 
