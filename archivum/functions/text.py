@@ -70,11 +70,18 @@ def sensitivity(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon bits a character: counts by code point over the UTF-16 length."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    """Shannon bits a character: counts by code point over the UTF-16 length.
+    Characters are sorted and their runs counted, in one pass."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
     n = utf16_length(text)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.coalesce(F.aggregate(F.transform(F.array_distinct(chars), lambda c: -share(c) * F.log2(share(c))), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    bits = lambda k: F.when(k > 0, -(k / n) * F.log2(k / n)).otherwise(0.0)
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, c: Column) -> Column:
+        same = s["last"] == c
+        return F.struct(c.alias("last"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), F.when(same, s["sum"]).otherwise(s["sum"] + bits(s["run"])).alias("sum"))
+
+    return F.coalesce(F.aggregate(chars, start, step, lambda s: s["sum"] + bits(s["run"])), F.lit(0.0))
 
 
 def freshness(updated_at: Column, now: Column, half_life_days: float = 90.0) -> Column:

@@ -341,7 +341,7 @@ def i6_freshness(s, d):
 
 @query()
 def i10_entropy(s, d):
-    return D.memories(s, d).where("length(content) < 400").select("id", F.round(T.entropy(F.col("content")), 6).alias("entropy"))
+    return D.memories(s, d).select("id", F.round(T.entropy(F.col("content")), 6).alias("entropy"))
 
 
 @query("SELECT id, len(list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> ''))) AS n FROM memories")

@@ -163,3 +163,20 @@ def test_heuristics(spark):
     texts = spark.createDataFrame([("x", " Untitled ", "untitled"), ("MIT License text", "t", "license"), ("a" * 1200, "t", "minified"), ("plain words here", "t", None)], "c string, t string, n string")
     for r in texts.select("n", Hx.noise(F.col("c"), F.col("t")).alias("x")).collect():
         assert r.x == r.n
+
+
+def test_measures_of_all_texts(spark, tmp_path):
+    """Long texts and nulls have rows too; entropy against counts."""
+    import math
+    from collections import Counter
+
+    from archivum.plans import registry
+
+    texts = ["", "aab", "\U0001f600a", "lorem ipsum dolor " * 2000, None]
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = registry.queries()
+    got = {r.id: r.entropy for r in queries["i10_entropy"](spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        n = len((text or "").encode("utf-16-le")) // 2
+        assert got[k] == pytest.approx(sum(-c / n * math.log2(c / n) for c in Counter(text or "").values()), abs=1e-6)
+    assert queries["o13_groundedness"](spark, str(tmp_path)).count() == len(texts)
