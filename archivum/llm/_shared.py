@@ -5,16 +5,23 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from archivum.shipping import ship
 
 #: Rows of one Arrow batch handed to Python. Texts are unbounded, so batches
 #: are kept short in rows.
 MAX_ROWS_PER_BATCH = 400
+#: Whole texts of a group that ``bounded_sample`` fetches, in bytes, at most.
+SAMPLE_BYTES = 16 << 20
+#: Range of the hashes by which keys are sampled.
+HASHES = 1 << 40
 
 
 _own_dirs: dict[str, str] = {}
@@ -27,15 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, one machine) a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and everything runs in one JVM (tests) a temporary folder is made; on a
+    cluster without it, this is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="archivum-")
-        where = _own_dirs[app]
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _own_dirs:
+            _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="archivum-")
+        where = _own_dirs[context.applicationId]
     return where.rstrip("/")
 
 
@@ -43,15 +53,31 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
-    It cuts lineage: what follows reads files that outlive any executor.
+    It cuts lineage: what follows reads files that outlive any executor. They
+    go with the application, or before by ``discard``.
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``stored`` table that nothing reads any more."""
+    files, place = _file_system(df.sparkSession, df.stored_at)
+    files.delete(place, True)
 
 
 def for_python(spark: SparkSession) -> None:
@@ -82,19 +108,78 @@ def remainder(key, modulus: int):
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def bounded_sample(marked: DataFrame, docs: DataFrame, key: str, group: str, text: str, per_group: int) -> list[tuple]:
-    """At most ``per_group`` (group, text) of each group, sorted; the same for
+def plain_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until it isn't taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
+def with_outputs(df: DataFrame, text: str, keep: list[str], outputs: dict[str, T.DataType], task) -> DataFrame:
+    """The columns ``keep``, and ``outputs`` made from ``text`` (null as empty).
+
+    ``task()`` is called in each task and gives a function from a list of texts
+    to a list of columns. Kept columns travel as Arrow data under names of
+    their own; one that is named like an output is left out.
+    """
+    for_python(df.sparkSession)
+    keep = [c for c in keep if c.lower() not in {o.lower() for o in outputs}]
+    inner = [f"k{i}" for i in range(len(keep))] + [f"o{i}" for i in range(len(outputs))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = task()
+        for batch in batches:
+            columns = made(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=inner)
+        del made
+        release_memory()
+
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(inner, [*(df.schema[c].dataType for c in keep), *outputs.values()])])
+    sent = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner)])
+    return sent.mapInArrow(run, schema).toDF(*keep, *outputs)
+
+
+def bounded_sample(marked: DataFrame, docs: DataFrame, key: str, group: str, text: str, per_group: int, bytes_per_group: int = SAMPLE_BYTES) -> list[tuple]:
+    """At most ``per_group`` whole (group, text) of each group, and no more
+    bytes than ``bytes_per_group`` beyond the first text, sorted; the same for
     the same rows. ``marked`` has key and group, ``docs`` key and text. Rows
     with a null key, group or text don't take part.
 
-    Only keys are ranked by hash, in 64, then 8 parts of a group, so that no
-    task sorts a whole group; then the texts of those chosen are fetched.
+    The keys with the smallest hashes are taken. Nothing is sorted but the keys
+    below a hash that the groups' counts set, about twice ``per_group`` of each;
+    where repeated keys make them fewer, the bound is raised.
     """
-    rest = marked.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("g")).withColumn("h", F.xxhash64("k"))
-    for parts in (64, 8, 1):
-        near = Window.partitionBy("g", "part").orderBy("h", "k")
-        rest = rest.withColumn("part", F.pmod("h", F.lit(parts))).withColumn("n", F.row_number().over(near)).where(F.col("n") <= per_group).drop("n", "part")
-    picked = rest.select("k", "g").distinct()
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], picked.schema)
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")
-    return sorted({(r.g, r.text) for r in rows.collect()})
+    spark = docs.sparkSession
+    rest = marked.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("g"))
+    counts = {r.g: r["count"] for r in rest.groupBy("g").count().collect()}
+    if not counts:
+        return []
+    hashed = rest.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(HASHES)))
+    wide = 2
+    while True:
+        most = {g: min(HASHES, -(-HASHES * wide * (per_group + 32) // n)) for g, n in counts.items()}
+        bound = F.create_map(*[x for g, m in most.items() for x in (F.lit(g), F.lit(m))])
+        found = hashed.where(F.col("h") < F.element_at(bound, F.col("g"))).distinct().collect()
+        got = Counter(r.g for r in found)
+        if all(got[g] >= per_group or m == HASHES for g, m in most.items()):
+            break
+        wide *= 4
+    place: Counter = Counter()
+    chosen = []
+    for h, k, g in sorted((r.h, r.k, r.g) for r in found):
+        place[g] += 1
+        if place[g] <= per_group:
+            chosen.append((k, g, place[g]))
+    chosen = spark.createDataFrame(chosen, T.StructType([rest.schema["k"], rest.schema["g"], T.StructField("place", T.LongType())]))
+    texts = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
+    rows = stored(texts.join(F.broadcast(chosen), "k").select("g", "place", "text"), "sample")
+    fits = []
+    room: Counter = Counter()
+    for r in sorted(rows.select("g", "place", F.octet_length("text").alias("n")).groupBy("g", "place").agg(F.sum("n").alias("n")).collect(), key=lambda r: r.place):
+        if not room[r.g] or room[r.g] + r.n <= bytes_per_group:
+            fits.append((r.g, r.place))
+        room[r.g] += max(1, r.n)
+    kept = spark.createDataFrame(fits, T.StructType([rest.schema["g"], T.StructField("place", T.LongType())])) if fits else rows.select("g", "place").limit(0)
+    out = sorted({(r.g, r.text) for r in rows.join(F.broadcast(kept), ["g", "place"]).select("g", "text").collect()})
+    discard(rows)
+    return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivum.llm._shared import stored
+from archivum.llm._shared import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        edges = stored(_to_least(_to_least(edges, True), False), "edges")
+        old, edges = edges, stored(_to_least(_to_least(edges, True), False), "edges")
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
