@@ -135,17 +135,18 @@ def _features(texts: list[str | None], width: int):
 
 
 def features(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """id, n_shingles, set_digest, bands and signature of every row."""
+    """id, h (hash of the text), n_shingles, set_digest, bands and signature
+    of every row."""
     for_python(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, bands, signatures = _features(batch.column(1).to_pylist(), width)
+            counts, digests, bands, signatures = _features(batch.column(2).to_pylist(), width)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(signatures, longs)], names=["id", "n_shingles", "set_digest", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(signatures, longs)], names=["id", "h", "n_shingles", "set_digest", "bands", "signature"])
         release_memory()
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_shingles long, set_digest binary, bands array<long>, signature array<long>")
+    return df.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text")).mapInArrow(run, "id long, h long, n_shingles long, set_digest binary, bands array<long>, signature array<long>")
 
 
 def estimate(one: str, two: str) -> Column:
@@ -255,20 +256,30 @@ def crowded_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.select("bucket", "low", "high", "block", "id", "root", "n_shingles", "bits").groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, component_id and kept of every row.
+def _shared_ids(made: DataFrame) -> DataFrame | None:
+    """The ids whose rows have different shingle sets, or None."""
+    found = made.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.min("set_digest").alias("low"), F.max("set_digest").alias("high")).where("low < high").select("id")
+    found = stored(found, "shared-ids")
+    count = found.count()
+    return None if count == 0 else F.broadcast(found) if count <= BROADCAST_PAIRS else found
 
-    Rows are linked where 100 * intersection >= percent * union of their
-    shingle sets; component_id is the smallest id that can be reached and kept
-    says whether it is the row's own. Null or wordless texts have no shingles
-    and no links. Rows with the same id are one node, each a row of the
-    result; a row with a null id takes its class's component and is kept if
-    there is none. Other columns of ``df`` don't matter.
-    """
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    made = stored(features(docs, "id", "text", width), "neardup")
-    real = made.where("n_shingles > 0")
-    classes = stored(real.groupBy("set_digest").agg(F.min("id").alias("id"), F.min_by(F.struct("n_shingles", "bands", "signature"), "id").alias("f")).where("id is not null").select("set_digest", "id", "f.*"), "classes")
+
+def _named(rows: DataFrame, shared: DataFrame | None, by_text: bool) -> DataFrame:
+    """Adds ``node``: the id, or a hash of id and text where the id alone
+    doesn't tell the text. ``rows`` has id and h."""
+    if shared is None:
+        node = F.col("id")
+    else:
+        rows = rows.join(shared.withColumn("several", F.lit(True)), "id", "left")
+        node = F.when(F.col("several"), F.xxhash64("id", "h")).otherwise(F.col("id"))
+    if by_text:
+        node = F.when(F.col("id").isNull(), F.xxhash64(F.lit("no id"), "h")).otherwise(node)
+    return rows.withColumn("node", node).drop("several")
+
+
+def _linked_classes(classes: DataFrame, docs: DataFrame, ties: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """(id, root) of the classes that are linked with others, by their texts or
+    by ``ties`` (a, b). ``docs`` has node, as id, and text."""
     # A key is salted with its band, so keys of different bands don't meet.
     sizes = classes.select("id", "n_shingles", "signature")
     left = sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("signature").alias("sig_a"))
@@ -284,6 +295,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     to_hubs = rows.join(hubs, "bucket").where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = to_hubs.groupBy(F.col("id").alias("a")).agg(F.max_by("hub", F.struct("n", "hub")).alias("b"))
     links = tried(best)
+    if ties is not None:
+        links = links.union(ties)
     roots = components(links)
 
     # Then all bands, each group in a bucket by its least member.
@@ -314,8 +327,50 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     third = confirm(third, docs, width, percent)
     if not third.isEmpty():
         roots = components(links.union(third))
+    return roots
 
-    found = classes.select("set_digest", F.col("id").alias("least")).join(roots.withColumnRenamed("id", "least"), "least", "left").select("set_digest", F.coalesce("root", "least").alias("component"))
-    out = made.select("id", "n_shingles", "set_digest").join(found, "set_digest", "left")
-    component = F.coalesce("component", "id")
-    return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT, by_text: bool = False) -> DataFrame:
+    """id, h (xxhash64 of the text), n_shingles, component_id and kept of
+    every row.
+
+    Rows are linked where 100 * intersection >= percent * union of their
+    shingle sets; component_id is the smallest id that can be reached and kept
+    says whether it is the row's own. Null or wordless texts have no shingles
+    and no links. Rows with the same id are one node, whatever their texts,
+    and each is a row of the result; a row with a null id takes its class's
+    component and is kept if there is none.
+
+    With ``by_text`` a node is an id and a text, a null id too, so different
+    texts of one id are linked only if they are similar. Then component_id is
+    null where no row of the group has an id, and kept marks the group's first
+    node by id (null last) and h. Other columns of ``df`` don't matter.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    made = stored(features(rows, "id", "text", width), "neardup")
+    shared = _shared_ids(made)
+    docs = _named(rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))), shared, by_text).select(F.col("node").alias("id"), "text")
+    real = _named(made.where("n_shingles > 0"), shared, by_text)
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.col("id"), F.col("h")))
+    classes = real.groupBy("set_digest").agg(F.min("node").alias("node"), F.min_by(F.struct("n_shingles", "bands", "signature"), "node").alias("f"), first.alias("first"))
+    classes = stored(classes.where("node is not null").select("set_digest", F.col("node").alias("id"), "f.*", "first"), "classes")
+    ties = None
+    if shared is not None and not by_text:
+        of_id = real.select(F.col("id").alias("own"), "set_digest").join(shared.withColumnRenamed("id", "own"), "own").join(classes.select("set_digest", "id"), "set_digest").select("own", "id").distinct()
+        ties = stored(of_id.join(of_id.groupBy("own").agg(F.min("id").alias("b")), "own").where("id <> b").select(F.col("id").alias("a"), "b"), "ties")
+
+    roots = _linked_classes(classes, docs, ties, width, percent).withColumnRenamed("id", "least")
+    found = classes.select("set_digest", "first", F.col("id").alias("least")).join(roots, "least", "left").select("set_digest", "first", F.coalesce("root", "least").alias("root"))
+    if shared is not None or by_text:
+        # The root is the least node; a group's first id is another matter.
+        found = found.drop("first").join(found.groupBy("root").agg(F.min("first").alias("first")), "root")
+    else:
+        found = found.withColumn("first", F.struct(F.lit(False).alias("unnamed"), F.col("root").alias("id"), F.lit(0).cast("long").alias("h")))
+    alone = made.where("n_shingles = 0").select("id", "h", "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    out = made.where("n_shingles > 0").select("id", "h", "n_shingles", "set_digest").join(found.select("set_digest", "first"), "set_digest", "left")
+    if by_text:
+        out = out.select("id", "h", "n_shingles", F.col("first.id").alias("component_id"), (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))).alias("kept"))
+    else:
+        component = F.coalesce("first.id", "id")
+        out = out.select("id", "h", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.union(alone)

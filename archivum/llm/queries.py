@@ -10,7 +10,7 @@ from archivum.llm._shared import remainder, table
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return neardup.near_duplicates(docs, width=2, percent=80).withColumnRenamed("id", "doc_id")
+    return neardup.near_duplicates(docs, width=2, percent=80).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
