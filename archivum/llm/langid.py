@@ -10,26 +10,26 @@ letters becomes one blank, so that layout and capitals say nothing.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivum.llm._shared import bounded_sample, for_python
+from archivum.llm._shared import bounded_sample, with_outputs
 
 #: Bytes of folded training text in a language's dictionary.
 DICTIONARY_BYTES = 65_536
-#: At most so many training texts are fetched for a language, those with the
-#: smallest hash of the key; a dictionary needs no more.
+#: At most so many whole training texts are fetched for a language, those with
+#: the smallest hash of the key (and SAMPLE_BYTES of them).
 SAMPLE_TEXTS = 300
-#: A sampled text gives at most so many characters of lines to a dictionary.
-SAMPLE_CHARS = 2_000
+#: Words of the pieces that a dictionary is drawn from.
+PIECE_WORDS = 24
 LEVEL = 9
 #: Rejected where the runner-up is less than this share larger.
 MARGIN = 0.01
@@ -44,24 +44,33 @@ def fold(text: str) -> str:
     return _not_letters.sub(" ", text.lower())
 
 
+def pieces(text: str) -> list[str]:
+    """The folded lines of the whole text, PIECE_WORDS words at a time."""
+    found = []
+    for line in text.split("\n"):
+        words = fold(line).split()
+        found += [" ".join(words[at : at + PIECE_WORDS]) for at in range(0, len(words), PIECE_WORDS)]
+    return found
+
+
 def dictionaries(samples: list[tuple[str, str]], size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language. Lines that several languages share
-    (licences, boilerplate) and repeats of a line are left out."""
-    lines: dict[str, list[str]] = {}
+    """A dictionary for each language, of pieces drawn by hash from all over
+    its texts until ``size`` is reached. Pieces that several languages share
+    (licences, boilerplate) and repeats of a piece are left out."""
+    own_pieces: dict[str, set[str]] = {}
     for lang, text in samples:
-        kept, room = [], SAMPLE_CHARS
-        for line in text.split("\n"):
-            folded = fold(line).strip()
-            kept.append(folded[:room])
-            room -= len(folded)
+        own_pieces.setdefault(lang, set()).update(pieces(text))
+    users = Counter(x for own in own_pieces.values() for x in own)
+    made = {}
+    for lang, own in own_pieces.items():
+        unique = [x for x in own if users[x] == 1] or own
+        drawn, room = [], size
+        for data in sorted((x.encode("utf-8", "replace") for x in unique), key=lambda x: (zlib.crc32(x), x)):
+            drawn.append(data[:room])
+            room -= len(data) + 1
             if room <= 0:
                 break
-        lines.setdefault(lang, []).extend(x for x in kept if x)
-    users = Counter(line for own in lines.values() for line in set(own))
-    made = {}
-    for lang, own in lines.items():
-        unique = [x for x in dict.fromkeys(own) if users[x] == 1] or list(dict.fromkeys(own))
-        made[lang] = " ".join(unique).encode("utf-8", "replace")[:size]
+        made[lang] = b" ".join(drawn)
     return {lang: data for lang, data in made.items() if len(data) >= 8}
 
 
@@ -108,16 +117,16 @@ def predict(df: DataFrame, by_language: dict[str, bytes], text: str = "text", ke
     """The columns ``keep`` and lang_pred, score, rejected.
 
     Null texts and texts without a letter are ``und`` with score 0, rejected.
-    Repeated rows stay; other columns of ``df`` don't matter.
+    Repeated rows stay; other columns of ``df`` don't matter, and a kept one
+    that is named like an output gives way to it.
     """
-    for_python(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task():
         classify = Classifier(by_language)
-        for batch in batches:
-            found = [classify(x) for x in batch.pop("__text")]
-            batch["lang_pred"], batch["score"], batch["rejected"] = [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
-            yield batch
 
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return df.select(*keep, F.col(text).alias("__text")).mapInPandas(run, schema)
+        def made(texts: list[str]) -> list[pa.Array]:
+            return [pa.array(column, kind) for column, kind in zip(zip(*map(classify, texts)), (pa.string(), pa.float64(), pa.bool_()))] if texts else [pa.array([], kind) for kind in (pa.string(), pa.float64(), pa.bool_())]
+
+        return made
+
+    return with_outputs(df, text, keep, {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}, task)
