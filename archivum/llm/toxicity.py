@@ -4,31 +4,32 @@ Voters (words of a lexicon, words and word beginnings that the labels single
 out, and patterns) vote toxic or abstain on a text. A generative label model has, for
 either class, the probability of each vote, estimated by expectation and
 maximisation from all sampled texts, the labelled classes serving as a start
-and as soft evidence; correlated voters share one vote's weight. A linear
-classifier over voters, words and word beginnings is then trained on the
-posteriors, and scores whole texts.
+and as soft evidence. It also estimates which voters agree beyond what the
+class explains (correlation of what is left of their votes given the class);
+those share one vote's weight. A linear classifier over voters, words and word
+beginnings is then trained on the posteriors, and scores whole texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivum.llm._shared import bounded_sample, for_python, release_memory
+from archivum.llm._shared import bounded_sample, release_memory, with_outputs
 
 #: Insults, in alphabetical order.
-LEXICON = (
-    "bastard clown coward creep cretin degenerate despicable dimwit disgusting dumb fool freak garbage hate "
-    "idiot idiotic imbecile jerk kill liar loser lowlife maggot moron moronic nasty parasite pathetic pervert "
-    "pig rat retard scum shut slime sucker stupid trash ugly vermin vile worthless"
-).split()
+LEXICON = [
+    "bastard", "clown", "coward", "creep", "cretin", "degenerate", "despicable", "dimwit", "disgusting", "dumb",
+    "fool", "freak", "garbage", "hate", "idiot", "idiotic", "imbecile", "jerk", "kill", "liar", "loser", "lowlife",
+    "maggot", "moron", "moronic", "nasty", "parasite", "pathetic", "pervert", "pig", "rat", "retard", "scum", "shut",
+    "slime", "sucker", "stupid", "trash", "ugly", "vermin", "vile", "worthless",
+]
 #: Patterns over lower-case text.
 PATTERNS = {
     "you_are": re.compile(r"\byou(?:'re| are) (?:an? |such an? |all |so )?\w+"),
@@ -40,14 +41,15 @@ PATTERNS = {
 SAMPLE_PER_CLASS = 1500
 #: Words and beginnings that the labels single out become voters: so many at
 #: most, each in so many toxic texts at least, and so many times as frequent.
-MINED, MINED_TEXTS, MINED_LIFT = 60, 6, 12.0
+MINED, MINED_TEXTS, MINED_LIFT = 400, 4, 12.0
 #: Lengths of word beginnings, which stand for a word with any ending.
 BEGINNINGS = (4, 5, 6, 7)
 #: The classifier knows the most frequent words and beginnings: so many at
 #: most, each in so many sampled texts at least.
 KNOWN, KNOWN_TEXTS = 20_000, 5
-#: Voters whose votes agree more than this (correlation) share their weight.
-CORRELATED = 0.5
+#: Voters whose votes correlate more than this given the class share their
+#: weight; who they are is estimated anew after so many rounds.
+CORRELATED, ROUNDS_APART = 0.3, 5
 ROUNDS = 25
 WORD = re.compile(r"\w+")
 
@@ -86,24 +88,32 @@ def mined_words(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     return [w for _, w in sorted(scored)[:MINED]]
 
 
-def label_model(votes: np.ndarray, weak: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of toxic, and the log ratio that each voter's vote adds.
+def shared_weight(votes: np.ndarray, posterior: np.ndarray, p1: np.ndarray, p0: np.ndarray) -> np.ndarray:
+    """Each voter's weight: one over the number of voters, itself included,
+    whose votes go with its own when the class is known. Voters that agree
+    because the class makes them vote keep their weight."""
+    rest = votes - (posterior[:, None] * p1 + (1 - posterior)[:, None] * p0)
+    scale = np.sqrt((rest**2).sum(axis=0)) + 1e-9
+    alike = (np.abs((rest.T @ rest) / np.outer(scale, scale)) > CORRELATED) & (votes.sum(axis=0) > 0)[:, None]
+    return 1.0 / np.maximum(1, alike.sum(axis=0))
+
+
+def label_model(votes: np.ndarray, weak: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of toxic, the log ratio that each voter's vote adds, and the
+    voters' weights.
 
     ``votes`` is (texts, voters) of 0 and 1, ``weak`` the labelled class, right
     with the accuracy that the model itself estimates.
     """
     n, k = votes.shape
     posterior = np.where(weak == 1, 0.9, 0.1 * prior)
-    # Correlated voters: each one's evidence is divided among its like.
-    spread = votes - votes.mean(axis=0)
-    scale = np.sqrt((spread**2).sum(axis=0)) + 1e-9
-    alike = (np.abs((spread.T @ spread) / np.outer(scale, scale)) > CORRELATED) & (votes.sum(axis=0) > 0)[:, None]
-    weight = 1.0 / np.maximum(1, alike.sum(axis=0))
-    ratio = np.zeros(k)
-    for _ in range(ROUNDS):
+    weight, ratio = np.ones(k), np.zeros(k)
+    for step in range(ROUNDS):
         toxic, clean = posterior.sum(), (1 - posterior).sum()
         p1 = (posterior @ votes + 0.5) / (toxic + 1)
         p0 = ((1 - posterior) @ votes + 0.5) / (clean + 1)
+        if step % ROUNDS_APART == 0:
+            weight = shared_weight(votes, posterior, p1, p0)
         ratio = np.clip(np.log(p1 / p0), -4, 6) * weight
         silent = np.clip(np.log((1 - p1) / (1 - p0)), -2, 2) * weight
         right1 = (posterior @ weak + 1) / (toxic + 2)
@@ -112,7 +122,7 @@ def label_model(votes: np.ndarray, weak: np.ndarray, prior: float) -> tuple[np.n
         score = np.log(rate / (1 - rate)) + votes @ ratio + (1 - votes) @ silent
         score += np.where(weak == 1, np.log(right1 / right0), np.log((1 - right1) / (1 - right0)))
         posterior = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    return posterior, ratio
+    return posterior, ratio, weight
 
 
 class Classifier:
@@ -150,7 +160,7 @@ def fit(samples: list[tuple[int, str]], shares: dict[int, float]) -> Classifier:
     votes = np.zeros((len(samples), k))
     for i, ((_, text), own) in enumerate(zip(samples, sets)):
         votes[i, voters.votes(text, own)] = 1
-    posterior, ratio = label_model(votes, weak, shares[1] / (shares[0] + shares[1]))
+    posterior, ratio, _ = label_model(votes, weak, shares[1] / (shares[0] + shares[1]))
     inputs = [model.inputs(t) for _, t in samples]
     lengths = np.array([len(w) for w, _ in inputs])
     where, size = np.concatenate([w for w, _ in inputs]), np.concatenate([s for _, s in inputs])
@@ -187,15 +197,15 @@ def predict(df: DataFrame, model: Classifier, threshold: float = 0.5, text: str
     """The columns ``keep``, score (0 to 1) and predicted (score >= threshold).
 
     A null text counts as empty, and empty texts have a score too. Repeated
-    rows stay; other columns of ``df`` don't matter.
+    rows stay; other columns of ``df`` don't matter, and a kept one that is
+    named like an output gives way to it.
     """
-    for_python(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["score"] = [model(x) for x in batch.pop("__text")]
-            batch["predicted"] = (batch["score"] >= threshold).astype("int32")
-            yield batch
+    def task():
+        def made(texts: list[str]) -> list[pa.Array]:
+            score = np.array([model(x) for x in texts], float)
+            return [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
+
+        return made
 
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(run, schema)
+    return with_outputs(df, text, keep, {"score": T.DoubleType(), "predicted": T.IntegerType()}, task)
