@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the namespace of derived ids.
-NAMESPACE = "6c6f6e67-7368-6f72-6500-69636f73706c"
-
-
 def content_hash(text: Column) -> Column:
     """SHA-256 of the UTF-8 bytes, without normalisation; null for null."""
     return F.sha2(text.cast("binary"), 256)
 
 
-def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
+def uuid5(name: Column, namespace: str) -> Column:
     """RFC 4122 version 5: SHA-1 of namespace and name, version and variant set."""
     seed = F.unhex(F.lit("".join(c for c in namespace if c in "0123456789abcdef")))
     digest = F.sha1(F.concat(seed, name.cast("binary")))
@@ -23,9 +19,9 @@ def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
-def derived_id(*fields: Column) -> Column:
+def derived_id(namespace: str, *fields: Column) -> Column:
     """The id of NUL-joined fields; a null counts as an empty field."""
-    return uuid5(F.concat_ws("\u0000", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]))
+    return uuid5(F.concat_ws("\u0000", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]), namespace)
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:

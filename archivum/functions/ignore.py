@@ -9,14 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Paths that an import leaves out, in their order.
-DEFAULTS = """
-**/node_modules/** **/site-packages/** **/bower_components/** **/vendor/** **/.venv/** **/venv/**
-**/__pycache__/** **/.git/** **/.next/** **/coverage/** **/dist/** **/build/**
-*.min.js *.min.css *.map *.bundle.js *.chunk.js
-package-lock.json npm-shrinkwrap.json pnpm-lock.yaml yarn.lock Cargo.lock poetry.lock uv.lock Pipfile.lock
-Gemfile.lock composer.lock go.sum flake.lock
-CODE_OF_CONDUCT* SECURITY.md SUPPORT.md PULL_REQUEST_TEMPLATE* **/ISSUE_TEMPLATE/** LICENSE* LICENCE* NOTICE* PATENTS*
-""".split()
+DEFAULTS = [
+    "**/node_modules/**", "**/site-packages/**", "**/bower_components/**", "**/vendor/**", "**/.venv/**", "**/venv/**", "**/__pycache__/**",
+    "**/.git/**", "**/.next/**", "**/coverage/**", "**/dist/**", "**/build/**", "*.min.js", "*.min.css", "*.map", "*.bundle.js", "*.chunk.js",
+    "package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.lock", "poetry.lock", "uv.lock", "Pipfile.lock", "Gemfile.lock",
+    "composer.lock", "go.sum", "flake.lock", "CODE_OF_CONDUCT*", "SECURITY.md", "SUPPORT.md", "PULL_REQUEST_TEMPLATE*", "**/ISSUE_TEMPLATE/**",
+    "LICENSE*", "LICENCE*", "NOTICE*", "PATENTS*",
+]
 WILDCARDS = {"**/": ".*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
 
 
