@@ -27,6 +27,38 @@ def parsed(text: Column) -> Column:
 def vault(spark: SparkSession, root: str) -> DataFrame:
     """path and text of the Markdown files below ``root``: hidden tool folders
     and blank files are left out."""
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.format("text").option("recursiveFileLookup", True).option("wholetext", True).load(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     kept = files.where(F.col("path").rlike(r"(?i)\.(md|markdown|mdx)$") & ~F.col("path").rlike(r"/(\.obsidian|\.trash|\.git|node_modules)/"))
-    return kept.where(F.trim("text") != "")
+    return kept.where(F.col("text").rlike(r"\S"))
+
+
+def vault_count(spark: SparkSession, root: str) -> int:
+    """How many files ``vault`` lists before it looks into them: blank ones count."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    return files.where(F.col("path").rlike(r"(?i)\.(md|markdown|mdx)$") & ~F.col("path").rlike(r"/(\.obsidian|\.trash|\.git|node_modules)/")).count()
+
+
+def coerced(raw: Column) -> Column:
+    """struct(kind, text, number) of a front-matter value: true and false are
+    booleans, ``[a, b]`` a list (text: its items joined by ``|``), what reads
+    as a number one, nothing, ``~`` and null an empty string, and the rest a
+    string without its quotes."""
+    value = F.trim(raw)
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), "^'(.*)'$", "$1")
+    inner = F.regexp_extract(value, r"^\[(.*)\]$", 1)
+    items = F.filter(F.transform(F.split(inner, ","), bare), lambda x: x != "")
+    numeric = value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    kind = F.when(value.isin("", "~", "null"), "string").when(value.isin("true", "false"), "boolean").when(value.rlike(r"^\[.*\]$"), "list").when(numeric, "number").otherwise("string")
+    text = F.when(value.isin("", "~", "null"), "").when(kind == "list", F.array_join(items, "|")).when(kind.isin("boolean", "number"), value).otherwise(bare(value))
+    return F.struct(kind.alias("kind"), text.alias("text"), F.when(kind == "number", value.cast("double")).alias("number"))
+
+
+def imported(spark: SparkSession, glob: str, base: str) -> DataFrame:
+    """Each file as a candidate: path below ``base``, category by path, trimmed
+    content, and outcome (queued, or failed where nothing is left)."""
+    from archivum.functions.heuristics import path_category
+
+    files = spark.read.format("text").option("wholetext", True).load(glob).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\A\s+|\s+\z", "").alias("content"))
+    path = F.substring_index("path", "/" + base.rstrip("/").rpartition("/")[2] + "/", -1)
+    outcome = F.when(F.col("content") == "", "failed").otherwise("queued")
+    return files.select(path.alias("path"), path_category(path).alias("category"), "content", F.lit("import").alias("source"), outcome.alias("outcome"))
