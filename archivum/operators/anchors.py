@@ -17,20 +17,40 @@ def with_anchor_hash(anchors: DataFrame, name: str = "computed") -> DataFrame:
     return anchors.withColumn(name, F.sha2(body.cast("binary"), 256))
 
 
-def anchor_breaks(anchors: DataFrame, rows: DataFrame) -> DataFrame:
-    """index and reason of every break: an edited anchor, a broken link of the
-    log, a chain shorter than anchored, another head at the anchored place.
-    ``anchors`` is ordered by ``index`` (one row for each governed run)."""
-    chain = with_position(rows.where(F.col("entry_hash").isNotNull())).select("position", F.col("entry_hash").alias("head"))
-    total = chain.count()
-    before = F.lag("anchorHash").over(Window.orderBy("index"))
-    judged = with_anchor_hash(anchors).withColumn("before", before).join(chain, F.col("chainedRows") == F.col("position"), "left")
+def anchor_breaks(anchors: DataFrame, rows: DataFrame, chain: str = "tenant_id") -> DataFrame:
+    """tenantId, index and reason of every break: an edited anchor, a broken
+    link of the log, a chain shorter than anchored, another head at the
+    anchored place. ``anchors`` is ordered by ``index`` within a tenant."""
+    held = rows.where(F.col("entry_hash").isNotNull())
+    placed = with_position(held, by=[chain]).select(F.col(chain).alias("tenantId"), F.col("position").alias("chainedRows"), F.col("entry_hash").alias("head"))
+    totals = held.groupBy(F.col(chain).alias("tenantId")).agg(F.count(F.lit(1)).alias("total"))
+    before = F.lag("anchorHash").over(Window.partitionBy("tenantId").orderBy("index"))
+    judged = with_anchor_hash(anchors).withColumn("before", before).join(placed, ["tenantId", "chainedRows"], "left").join(totals, "tenantId", "left")
     reasons = F.array(
         F.when(F.col("computed") != F.col("anchorHash"), "ANCHOR_HASH_MISMATCH"),
         F.when(~F.col("prevAnchorHash").eqNullSafe(F.col("before")), "ANCHOR_LINK_MISMATCH"),
-        F.when(F.col("chainedRows") > total, "HISTORY_TRUNCATED").when((F.col("chainedRows") > 0) & (F.col("head") != F.col("chainHead")), "HISTORY_REWRITTEN"),
+        F.when(F.col("chainedRows") > F.coalesce("total", F.lit(0)), "HISTORY_TRUNCATED").when((F.col("chainedRows") > 0) & (F.col("head") != F.col("chainHead")), "HISTORY_REWRITTEN"),
     )
-    return judged.select("index", F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("reason"))
+    return judged.select("tenantId", "index", F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("reason"))
+
+
+def break_counts(breaks: DataFrame) -> DataFrame:
+    """truncated, rewritten and log (hash or link of the log itself)."""
+    of = lambda *r: F.count_if(F.col("reason").isin(*r))
+    return breaks.agg(of("HISTORY_TRUNCATED").alias("truncated"), of("HISTORY_REWRITTEN").alias("rewritten"), of("ANCHOR_HASH_MISMATCH", "ANCHOR_LINK_MISMATCH").alias("log"))
+
+
+def appended(log: DataFrame, heads: DataFrame, anchored_at: str) -> DataFrame:
+    """The last anchor of every chain after anchoring ``heads`` (tenantId,
+    chainedRows, chainHead): the log's own where head and count haven't
+    changed (appended is false), else a new one that links to it."""
+    last = log.groupBy("tenantId").agg(F.max_by(F.struct(*[c for c in log.columns if c != "tenantId"]), "index").alias("last"))
+    both = heads.join(last, "tenantId", "left")
+    same = F.coalesce((F.col("last.chainedRows") == F.col("chainedRows")) & (F.col("last.chainHead") == F.col("chainHead")), F.lit(False))
+    at = F.when(same, F.col("last.anchoredAt")).otherwise(F.lit(anchored_at))
+    link = F.when(same, F.col("last.prevAnchorHash")).otherwise(F.col("last.anchorHash"))
+    made = both.select(F.lit(1).alias("schemaVersion"), at.alias("anchoredAt"), "tenantId", "chainedRows", "chainHead", link.alias("prevAnchorHash"), (~same).alias("appended"))
+    return with_anchor_hash(made, "anchorHash")
 
 
 def classified(breaks: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -32,3 +32,16 @@ def traverse(links: DataFrame, start: int, max_depth: int = 2) -> DataFrame:
 def degrees(links: DataFrame) -> DataFrame:
     ends = links.select(F.col("source_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(links.select(F.col("target_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.groupBy("id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+
+
+def paths(links: DataFrame, start: int, max_depth: int) -> DataFrame:
+    """id, depth and n: how many paths of that length lead from the start to a
+    node. Paths to a node are counted, not kept apart, so that rows never
+    outgrow the nodes."""
+    step = links.where(F.col("source_id") == start).groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).withColumn("depth", F.lit(1))
+    found = step
+    for depth in range(2, max_depth + 1):
+        further = step.select(F.col("id").alias("source_id"), "n").join(links, "source_id")
+        step = further.groupBy(F.col("target_id").alias("id")).agg(F.sum("n").alias("n")).withColumn("depth", F.lit(depth))
+        found = found.unionByName(step)
+    return found

@@ -77,3 +77,23 @@ def insert_new(base: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 
 def without(base: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return base.join(gone.select(key).distinct(), key, "left_anti").select(*base.columns)
+
+
+def repo_scope(df: DataFrame, url: str) -> DataFrame:
+    """kept, skipped and unscoped: rows whose ``repo_url`` is the given one
+    (trimmed, without ``.git``, in any case), another, or none, which is kept too."""
+    bare = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\.git$", ""))
+    same = bare(F.col("repo_url")) == bare(F.lit(url))
+    return df.agg(F.count_if(same).alias("kept"), F.count_if(~same).alias("skipped"), F.count_if(F.col("repo_url").isNull()).alias("unscoped"))
+
+
+def visible_to(df: DataFrame, tenants: list[str]) -> DataFrame:
+    """Rows of the tenants that a token is for; all for a token without any."""
+    return df.where(F.col("tenant_id").isin(tenants)) if tenants else df
+
+
+def beyond_mark(df: DataFrame, mark: DataFrame) -> DataFrame:
+    """Rows updated strictly after the mark (one row: last_exported_at); all
+    where it is null or there is none."""
+    last = mark.agg(F.max("last_exported_at").alias("__mark"))
+    return df.crossJoin(last).where(F.col("__mark").isNull() | (F.col("updated_at") > F.col("__mark"))).drop("__mark")  # one row

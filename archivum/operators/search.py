@@ -25,7 +25,8 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     """id and score of the documents that have every word of the query.
 
     Only the query's terms are counted; what is needed of the corpus is its
-    size and mean length."""
+    size and mean length. Texts are read for that and again for the hits; for
+    many queries, ``operators.index`` searches stored postings."""
     terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     words = docs.select("id", F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
     counts = [F.size(F.filter("w", _equals(t))).alias(f"tf{k}") for k, t in enumerate(terms)]
@@ -63,6 +64,33 @@ def fuse(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return rows.groupBy("id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.min("rank").alias("best_rank"))
 
 
+def ranked(hits: DataFrame, most: int) -> DataFrame:
+    """id and rank of the ``most`` best hits (id, score)."""
+    best = top(hits, most)
+    return best.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))  # ``most`` rows
+
+
+def hybrid(docs: DataFrame, query: str, vectors: DataFrame, query_vector: DataFrame, bound_tenant: str | None = None, tenant: str | None = None, most: int = 50) -> DataFrame:
+    """The best ``most`` by words and by vectors, fused: id, score, best_rank.
+
+    An index that is bound to a tenant answers others with nothing. A query
+    without a vector (none in ``query_vector``) is answered by words alone."""
+    if bound_tenant is not None and tenant != bound_tenant:
+        docs, vectors = docs.limit(0), vectors.limit(0)
+    lexical = ranked(bm25(docs, query).select("id", F.round("score", 9).alias("score")), most)
+    return fuse(lexical, knn(vectors, query_vector, most).select("id", "rank"))
+
+
+def cross_reranked(fused: DataFrame, texts: DataFrame, score, cache: DataFrame, window: int = 50, top_n: int = 8, chars: int = 1500) -> DataFrame:
+    """The ``top_n`` of the first ``window`` of a fused list (id, place) by
+    ``score``, a column over ``text`` (the first ``chars``); scores that the
+    cache (id, cached) has aren't computed again. Without texts the list
+    stays as it is."""
+    head = fused.orderBy("place").limit(window).join(texts.select("id", F.substring("content", 1, chars).alias("text")), "id", "left").join(cache, "id", "left")
+    made = F.coalesce(F.col("cached"), F.when(F.col("text").isNotNull(), score))
+    return head.withColumn("score", made).orderBy(F.desc_nulls_last("score"), "place").limit(top_n).select("id", "score")
+
+
 def rerank(hits: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
     """Hits (id, score) with final_score = score x freshness x category boost."""
     known = hits.join(memories.select("id", "category", "updated_at"), "id", "left")

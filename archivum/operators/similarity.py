@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivum.functions import text as T
 
+KEYS = ["tenant_id", "category"]
+
 
 def exact_duplicates(candidates: DataFrame, memories: DataFrame) -> DataFrame:
     """Candidates with ``duplicate``: whether a memory of their tenant has the
@@ -24,26 +26,50 @@ def first_in_batch(df: DataFrame, order: str = "id") -> DataFrame:
     return df.join(least, ["tenant_id", "content_hash"]).withColumn("first", F.col(order) == F.col("__first")).drop("__first")
 
 
-def _shared_tokens(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one tenant and category with Jaccard >= threshold over their
-    ``tokens``, found by their rarest tokens (prefix filter), not by all pairs.
+def _classes(df: DataFrame, tokens: Column, name: Column) -> DataFrame:
+    """tenant, category, class and its tokens (as hashes): rows that are alike
+    are one class, so copies are compared once. Rows without tokens take no part."""
+    rows = df.select(*KEYS, name.alias("class"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("tokens")).where(F.size("tokens") > 0)
+    return rows.groupBy(*KEYS, "class").agg(F.first("tokens").alias("tokens"))
+
+
+def _members(df: DataFrame, name: Column, most: int) -> DataFrame:
+    """The ``most`` smallest ids of each class; ranks are limited before the
+    shuffle, so a class of many copies is not one task's."""
+    order = F.row_number().over(Window.partitionBy(*KEYS, "class").orderBy("id"))
+    rows = df.select(*KEYS, name.alias("class"), "id").distinct()
+    return rows.withColumn("__n", order).where(F.col("__n") <= most).select(*KEYS, F.col("class").alias("right"), F.col("id").alias("right_id"))
+
+
+def similar_classes(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """tenant, category, left, right and similarity of the classes whose
+    Jaccard is at least ``threshold``: found by their rarest tokens (prefix
+    filter) and sizes, not by all pairs.
 
     Two sets that similar share one of the first size - ceil(threshold * size)
-    + 1 tokens in any common order; the order here is by frequency."""
-    keys = ["tenant_id", "category"]
+    + 1 tokens in any common order; the order here is by frequency, then hash."""
     tokens = left.select(F.explode("tokens").alias("t")).unionAll(right.select(F.explode("tokens").alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
 
-    def prefixes(df: DataFrame, name: str) -> DataFrame:
-        rows = df.where(F.size("tokens") > 0).select(*keys, F.col("id").alias(name), F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(tokens, "t")
-        ordered = rows.groupBy(*keys, name).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("own"), F.first("n").alias("n"))
-        take = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-        return ordered.select(*keys, name, F.explode(F.slice("own", 1, F.greatest(take, F.lit(1)))).alias("x")).select(*keys, name, F.col("x.t").alias("t"))
+    def prefixes(df: DataFrame, name: str, n: str) -> DataFrame:
+        rows = df.select(*KEYS, F.col("class").alias(name), F.size("tokens").alias(n), F.explode("tokens").alias("t")).join(tokens, "t")
+        ordered = rows.groupBy(*KEYS, name, n).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("own"))
+        take = F.col(n) - F.ceil(F.col(n) * threshold - 1e-9).cast("int") + 1
+        return ordered.select(*KEYS, name, n, F.explode(F.slice("own", 1, F.greatest(take, F.lit(1)))).alias("x")).select(*KEYS, name, n, F.col("x.t").alias("t"))
+
+    near = F.least("n_left", "n_right") >= threshold * F.greatest("n_left", "n_right") - 1e-9
+    pairs = prefixes(left, "left", "n_left").join(prefixes(right, "right", "n_right"), [*KEYS, "t"]).where(near).select(*KEYS, "left", "right").distinct()
+    one = left.select(*KEYS, F.col("class").alias("left"), F.col("tokens").alias("left_tokens"))
+    two = right.select(*KEYS, F.col("class").alias("right"), F.col("tokens").alias("right_tokens"))
+    scored = pairs.join(one, [*KEYS, "left"]).join(two, [*KEYS, "right"]).withColumn("similarity", T.jaccard(F.col("left_tokens"), F.col("right_tokens"), 0.0))
+    return scored.where(F.col("similarity") >= threshold).select(*KEYS, "left", "right", "similarity")
+
 
-    pairs = prefixes(left, "left_id").join(prefixes(right, "right_id"), [*keys, "t"]).where("left_id <> right_id").select("left_id", "right_id").distinct()
-    one = left.select(F.col("id").alias("left_id"), F.col("tokens").alias("left_tokens"))
-    two = right.select(F.col("id").alias("right_id"), F.col("tokens").alias("right_tokens"))
-    scored = pairs.join(one, "left_id").join(two, "right_id").withColumn("similarity", T.jaccard(F.col("left_tokens"), F.col("right_tokens"), 0.0))
-    return scored.where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
+def _best(pairs: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best ids of every left class: larger similarity first, then
+    smaller id."""
+    rank = F.row_number().over(Window.partitionBy(*KEYS, "left").orderBy(F.desc("similarity"), "right_id"))
+    found = pairs.join(members, [*KEYS, "right"]).withColumn("rank", rank).where(F.col("rank") <= most)
+    return found.select(*KEYS, F.col("left").alias("class"), "rank", "right_id", "similarity")
 
 
 def supersessions(candidates: DataFrame, memories: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -51,17 +77,21 @@ def supersessions(candidates: DataFrame, memories: DataFrame, threshold: float =
     right_id, similarity; ties to the smaller id. Two titles without a word
     are not compared."""
     active = memories.where("lifecycle = 'active'")
-    pairs = _shared_tokens(candidates.withColumn("tokens", T.title_tokens(F.col("title"))), active.withColumn("tokens", T.title_tokens(F.col("title"))), threshold)
-    best = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id"))
-    return pairs.withColumn("n", best).where("n = 1").drop("n")
+    tokens = T.title_tokens(F.col("title"))
+    name = F.sha2(F.array_join(F.array_sort(tokens), " ").cast("binary"), 256)
+    pairs = similar_classes(_classes(candidates, tokens, name), _classes(active, tokens, name), threshold)
+    # Two, as the best may be the candidate itself.
+    best = _best(pairs, _members(active, name, 2), 2)
+    rows = candidates.select(F.col("id").alias("left_id"), *KEYS, name.alias("class")).join(best, [*KEYS, "class"]).where("left_id <> right_id")
+    return rows.groupBy("left_id").agg(F.min_by(F.struct("right_id", "similarity"), "rank").alias("b")).select("left_id", "b.*")
 
 
 def contradictions(candidates: DataFrame, memories: DataFrame, threshold: float = 0.6, most: int = 5) -> DataFrame:
     """Up to ``most`` active memories that overlap a candidate's content
     without being equal, most similar first, with their rank."""
     active = memories.where("lifecycle = 'active'")
-    pairs = _shared_tokens(candidates.withColumn("tokens", T.content_tokens(F.col("content"))), active.withColumn("tokens", T.content_tokens(F.col("content"))), threshold)
-    one, two = candidates.select(F.col("id").alias("left_id"), F.col("content_hash").alias("h1")), active.select(F.col("id").alias("right_id"), F.col("content_hash").alias("h2"))
-    differ = pairs.join(one, "left_id").join(two, "right_id").where("h1 <> h2")
-    rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id"))
-    return differ.withColumn("rank", rank).where(F.col("rank") <= most).select("left_id", "rank", "right_id", "similarity")
+    tokens, name = T.content_tokens(F.col("content")), F.col("content_hash")
+    pairs = similar_classes(_classes(candidates, tokens, name), _classes(active, tokens, name), threshold).where(F.col("left") != F.col("right"))
+    best = _best(pairs, _members(active, name, most), most)
+    rows = candidates.select(F.col("id").alias("left_id"), *KEYS, name.alias("class")).join(best, [*KEYS, "class"])
+    return rows.select("left_id", "rank", "right_id", "similarity")
