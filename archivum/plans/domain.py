@@ -22,6 +22,8 @@ TRANSITIONS = [("active", "deprecated"), ("active", "superseded"), ("active", "a
 #: The projection's own.
 LIFECYCLE_BY_TEN = ["active"] * 7 + ["deprecated", "superseded", "archived"]
 NOW = "2026-01-01 00:00:00"
+#: The namespace of derived ids: that of domain names (RFC 4122).
+NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 ACTION_OF_EVENT = {"signup": "proposed", "error": "demoted", "click": "promoted", "view": "superseded", "purchase": "archived"}
 
 
@@ -83,6 +85,10 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source_id", "target_id", "link_type").agg(F.max("weight").alias("weight"))
 
 
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"memories": memories(spark, sf_dir), "audit_events": audit_events(spark, sf_dir), "links": links(spark, sf_dir), "access_log": access_log(spark, sf_dir)}
+
+
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -91,7 +97,7 @@ def _pick_sql(values: list[str], key: str) -> str:
     return f"({_list(values)})[CAST({key} % {len(values)} AS INTEGER) + 1]"
 
 
-WITH = f"""WITH memories AS (
+WITH = f"""WITH RECURSIVE memories AS (
   SELECT doc_id AS id, lang AS tenant_id, split_part(text, chr(10), 1) AS title, text AS content,
     {_pick_sql(CATEGORIES, 'doc_id')} AS category, {_pick_sql(LIFECYCLE_BY_TEN, 'doc_id')} AS lifecycle,
     {_pick_sql(SOURCES, 'doc_id')} AS source, {_pick_sql(TRUST, 'doc_id')} AS trust_level,

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archivum.functions import text as T
-from archivum.operators import anchors, audit, policy, records, reports, search, similarity
+from archivum.operators import policy, records, reports, similarity
 from archivum.plans import domain as D
-from archivum.plans.registry import QUERY, query, ts
+from archivum.plans.registry import query, ts
 
 RULES = ["content_length", "content_sanitization", "contradiction_check", "dedup_check", "relevance_score", "secret_detection", "sensitivity_gate", "source_trust", "tenant_match"]
 
@@ -35,28 +35,6 @@ def e22_distinct_tokens(s, d):
     return D.memories(s, d).select("id", (F.size(words) > 0).alias("has_words"), F.size(words).cast("long").alias("n"))
 
 
-@query()
-def e25_break_histogram(s, d):
-    rows = D.audit_events(s, d).where("tenant_id = 't3'").select("tenant_id", "seq", F.col("id").cast("string").alias("id"), "action", F.col("memory_id").cast("string").alias("memory_id"), "details_json")
-    made = audit.chained(rows, "tenant_id").where("seq % 97 <> 0")
-    return audit.verify_chain(made).groupBy(F.coalesce("reason", F.lit("clean")).alias("reason")).agg(counted())
-
-
-@query()
-def d15_documented_breaks(s, d):
-    rows = D.audit_events(s, d).where("tenant_id = 't3'").select("tenant_id", "seq", F.col("id").cast("string").alias("id"), "action", F.col("memory_id").cast("string").alias("memory_id"), "details_json")
-    judged = audit.verify_chain(audit.chained(rows, "tenant_id").where("seq % 97 <> 0")).where("reason is not null").withColumn("hash_version", F.lit(2))
-    manifest = judged.where("seq % 2 = 0")
-    return anchors.classified(judged, manifest).groupBy("class").agg(counted())
-
-
-@query("SELECT id, CASE WHEN lifecycle IN ('superseded', 'archived') THEN 'archive' ELSE lifecycle END AS state, arg_max(rule, pos) AS rule FROM memories, (VALUES (1, 'all', 0), (2, 'even', 2), (3, 'fifth', 5)) r(pos, rule, k) WHERE k = 0 OR id % greatest(k, 1) = 0 GROUP BY ALL")
-def f8_last_rule_wins(s, d):
-    rule = F.when(F.col("id") % 5 == 0, "fifth").when(F.col("id") % 2 == 0, "even").otherwise("all")
-    state = F.when(F.col("lifecycle").isin("superseded", "archived"), "archive").otherwise(F.col("lifecycle"))
-    return D.memories(s, d).select("id", state.alias("state"), rule.alias("rule"))
-
-
 @query("SELECT id, tenant_id FROM memories WHERE status = 'inbox' ORDER BY id LIMIT 100")
 def g9_cycle(s, d):
     return records.find(D.memories(s, d), status="inbox").orderBy("id").limit(100).select("id", "tenant_id")
@@ -69,12 +47,6 @@ def h6_uncovered_rules(s, d):
     return s.range(1).select(F.explode(F.array_sort(F.array_except(known, enabled))).alias("rule"))
 
 
-@query("SELECT a.id, list_sort(a.w) = list_sort(b.w) AS same FROM (SELECT id, regexp_split_to_array(title, ' ') AS w FROM memories) a JOIN (SELECT id - 1 AS id, regexp_split_to_array(title, ' ') AS w FROM memories) b ON a.id = b.id")
-def h8_set_equality(s, d):
-    rows = D.memories(s, d).select("id", F.array_sort(F.split("title", " ")).alias("w"))
-    return rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("w").alias("v")), "id").select("id", (F.col("w") == F.col("v")).alias("same"))
-
-
 @query(plain="SELECT page_id, coalesce(nullif(trim(regexp_replace(CASE WHEN regexp_extract(url, '([^/]*)$', 1) = '' THEN '' ELSE regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[^.]+$', '') END, '[-_]+', ' ', 'g')), ''), url) AS title FROM pages")
 def i18_citation_titles(s, d):
     return D.read(s, d, "pages").select("page_id", T.citation_title(F.col("url")).alias("title"))
@@ -92,42 +64,6 @@ def i25_normalised_scores(s, d):
     return rows.join(most, "tenant_id").select("id", "tenant_id", (F.col("n") / F.col("m")).alias("score"))
 
 
-@query("SELECT id, CASE WHEN category NOT IN ('decision', 'pattern', 'convention') THEN 'category' WHEN trust_level = 'untrusted' THEN 'trust_level' END AS failing FROM memories")
-def i35_enum_membership(s, d):
-    failing = F.when(~F.col("category").isin("decision", "pattern", "convention"), "category").when(~F.col("trust_level").isin("high", "medium", "low"), "trust_level")
-    return D.memories(s, d).select("id", failing.alias("failing"))
-
-
-@query("SELECT id, CASE WHEN regexp_matches(content, '\\bAKIA[A-Z0-9]{16}\\b') OR regexp_matches(content, '(password|secret|token|api_key)[\"'']?\\s*[:=]\\s*[\"'']?[A-Za-z0-9+/_.=-]{8,}') OR regexp_matches(content, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'fail' ELSE 'pass' END AS result FROM memories")
-def j1_secret_detection(s, d):
-    return D.memories(s, d).select("id", policy.secret_detection().alias("result"))
-
-
-@query("SELECT id, token FROM memories, (VALUES ('the'), ('und'), ('idiot')) r(token) WHERE regexp_matches(lower(content), '(^|[^a-z0-9])' || token || '($|[^a-z0-9])')")
-def k18_fact_staleness(s, d):
-    found = F.array(*[F.when(T.mentions(F.col("content"), t), F.lit(t)) for t in ("the", "und", "idiot")])
-    return D.memories(s, d).select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("token"))
-
-
-@query()
-def k20_merge_gate(s, d):
-    """Two clones: one row an id, all untrusted, disclosures quarantined."""
-    rows = D.memories(s, d)
-    one, two = rows.where("id % 2 = 0").withColumn("side", F.lit(0)), rows.where("id % 3 = 0").withColumn("side", F.lit(1))
-    least = one.unionAll(two).groupBy("id").agg(F.min("side").alias("side"))
-    union = one.unionAll(two).join(least, ["id", "side"]).withColumn("trust_level", F.lit("untrusted"))
-    outcome = F.when(T.sensitivity(F.col("content")).isin("restricted", "confidential"), "quarantined").otherwise("promoted")
-    return union.select("id", "side", "trust_level", outcome.alias("outcome"))
-
-
-@query()
-def l3_scoped_search(s, d):
-    """The best hundred of all, then those of one scope."""
-    rows = D.memories(s, d)
-    best = search.top(search.bm25(rows, QUERY), 100)
-    return best.join(records.in_scope(rows, "bulk").select("id"), "id", "left_semi")
-
-
 @query("SELECT id, CASE WHEN contains(title, 'the') THEN 0.9 ELSE 0.6 END::DOUBLE AS score FROM memories WHERE lifecycle = 'active' AND (contains(title, 'the') OR contains(content, 'the'))")
 def l12_fallback_search(s, d):
     active = records.find(D.memories(s, d), lifecycle="active").where(F.contains("title", F.lit("the")) | F.contains("content", F.lit("the")))
@@ -160,12 +96,6 @@ def o4_eval_run(s, d):
     return reports.retrieval(ranked, gold).agg(F.round(F.avg("recall"), 9).alias("recall"), F.round(F.avg("mrr"), 9).alias("mrr"))
 
 
-@query("SELECT id, coalesce(action, 'none') AS first_receipt FROM memories m LEFT JOIN (SELECT memory_id, arg_min(action, seq) AS action FROM audit_events GROUP BY memory_id) e ON e.memory_id = m.id")
-def d16_first_receipts(s, d):
-    first = D.audit_events(s, d).groupBy(F.col("memory_id").alias("id")).agg(F.min_by("action", "seq").alias("action"))
-    return D.memories(s, d).select("id").join(first, "id", "left").select("id", F.coalesce("action", F.lit("none")).alias("first_receipt"))
-
-
 @query("SELECT id, updated_at + INTERVAL 30 DAY AS due, updated_at + INTERVAL 30 DAY < TIMESTAMP '2026-01-01 00:00:00' AS overdue FROM memories")
 def i52_due_times(s, d):
     due = F.col("updated_at") + F.make_dt_interval(F.lit(30))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from archivum.functions import hashing as H
 from archivum.functions import text as T
 from archivum.operators import audit, graph, policy, records, reports, search, similarity
 from archivum.plans import domain as D
-from archivum.plans.registry import QUERY, SINCE, STALE, UNTIL, query, ts
+from archivum.plans.registry import SINCE, STALE, UNTIL, query, ts
 
 EVEN, ODD = "id % 2 = 0", "id % 2 = 1"
 
@@ -39,7 +38,15 @@ def b7_delete_links(s, d):
     return D.links(s, d).where(~(F.col("source_id") == 4))
 
 
-@query()
+CHAIN_SQL = "sha256(json_object('id', id, 'action', action, 'memory_id', memory_id, 'tenant_id', tenant_id, 'actor_json', '{}', 'reason', '', 'details_json', details_json, 'prev_entry_hash', prev_entry_hash)::VARCHAR)"
+
+
+@query(
+    f""", p AS (SELECT tenant_id, seq, CAST(id AS VARCHAR) AS id, action, CAST(memory_id AS VARCHAR) AS memory_id, details_json, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS n FROM audit_events),
+    c AS (SELECT *, {CHAIN_SQL} AS entry_hash FROM (SELECT *, NULL::VARCHAR AS prev_entry_hash FROM p WHERE n = 1)
+      UNION ALL SELECT *, {CHAIN_SQL} FROM (SELECT p.*, c.entry_hash AS prev_entry_hash FROM c JOIN p ON p.tenant_id = c.tenant_id AND p.n = c.n + 1))
+    SELECT tenant_id, seq, id, action, memory_id, details_json, '{{}}' AS actor_json, '' AS reason, prev_entry_hash, entry_hash FROM c"""
+)
 def b8_append_audit(s, d):
     return audit.chained(D.audit_events(s, d).select("tenant_id", "seq", F.col("id").cast("string").alias("id"), "action", F.col("memory_id").cast("string").alias("memory_id"), "details_json"), "tenant_id")
 
@@ -64,19 +71,6 @@ def b18_export_changed(s, d):
     return rows.join(before, "id", "left").select("id", (~F.col("content_hash").eqNullSafe(F.col("old"))).alias("written"))
 
 
-@query("SELECT tenant_id, count(*) AS n_rows, arg_max(id, seq) AS head FROM audit_events GROUP BY tenant_id")
-def b21_anchor(s, d):
-    return D.audit_events(s, d).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max_by("id", "seq").alias("head"))
-
-
-@query(
-    """, w AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS term FROM memories WHERE id < 100)
-    SELECT id, term, count(*) AS tf FROM w GROUP BY id, term"""
-)
-def b25_postings(s, d):
-    return search.postings(D.memories(s, d).where("id < 100")).select("id", "term", "tf")
-
-
 @query("SELECT id, sha256('q' || chr(0) || content_hash) AS key, CASE WHEN id % 4 = 0 THEN CAST(id AS DOUBLE) END AS cached FROM memories")
 def b27_rerank_cache(s, d):
     keyed = D.memories(s, d).select("id", "content_hash", F.sha2(F.concat(F.lit("q\u0000"), "content_hash").cast("binary"), 256).alias("key"))
@@ -134,13 +128,6 @@ def d19_clone_union(s, d):
     return rows.where(EVEN).withColumn("side", F.lit(0)).unionAll(rows.where("id % 5 = 0").withColumn("side", F.lit(1))).groupBy("id").agg(F.min("side").alias("side"))
 
 
-@query("SELECT i.id, CASE WHEN m.id IS NULL THEN 'not-found' WHEN m.lifecycle = 'active' THEN 'matched' ELSE 'criteria-excluded' END AS bucket FROM (SELECT event_id * 7 AS id FROM events WHERE event_id < 300) i LEFT JOIN memories m ON m.id = i.id")
-def d20_id_buckets(s, d):
-    ids = D.read(s, d, "events").where("event_id < 300").select((F.col("event_id") * 7).alias("id"))
-    joined = ids.join(D.memories(s, d).select("id", "lifecycle"), "id", "left")
-    return joined.select("id", F.when(F.col("lifecycle").isNull(), "not-found").when(F.col("lifecycle") == "active", "matched").otherwise("criteria-excluded").alias("bucket"))
-
-
 # E: aggregations.
 
 
@@ -189,11 +176,6 @@ def e21_means(s, d):
 # F and G: windows and order.
 
 
-@query("SELECT tenant_id, arg_max(id, (length(content), -id)) AS id FROM memories GROUP BY tenant_id")
-def f6_best_match(s, d):
-    return D.memories(s, d).groupBy("tenant_id").agg(F.max_by("id", F.struct(F.length("content"), -F.col("id"))).alias("id"))
-
-
 @query("SELECT tenant_id, id, rank FROM (SELECT tenant_id, id, row_number() OVER (PARTITION BY tenant_id ORDER BY length(content) DESC, id) AS rank FROM memories) WHERE rank <= 10")
 def f7_ranks_in_lists(s, d):
     own = F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc(F.length("content")), "id"))
@@ -251,16 +233,6 @@ def i39_mentions(s, d):
     return D.memories(s, d).select("id", T.mentions(F.col("content"), "idiot").alias("mentioned"))
 
 
-@query(plain="SELECT q.doc_id AS left_id, b.item_id AS right_id FROM documents q JOIN benchmark b ON contains(q.text, b.text)")
-def i16_contains_passages(s, d):
-    docs, items = D.read(s, d, "documents"), D.read(s, d, "benchmark")
-    # A passage starts with its first words: an equality to join by.
-    words = lambda c: F.split(c, r"\s+")
-    own = docs.select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
-    probe = items.select("item_id", F.col("text").alias("passage"), F.element_at(F.array_sort(F.filter(F.slice(words(F.col("text")), 2, F.greatest(F.size(words(F.col("text"))) - 2, F.lit(1))), lambda w: w != ""), lambda a, b: F.length(b) - F.length(a)), 1).alias("w"))
-    return own.join(probe, "w").where(F.contains("text", "passage")).select(F.col("doc_id").alias("left_id"), F.col("item_id").alias("right_id")).distinct()
-
-
 @query(plain="SELECT doc_id AS id, length(text) < 10 OR length(text) > 20000 AS failed FROM documents")
 def j2_content_length(s, d):
     return D.memories(s, d).select("id", (policy.content_length(10, 20_000) == "fail").alias("failed"))
@@ -293,20 +265,6 @@ def k3_ingest(s, d):
     return fresh.select("id", F.lit("untrusted").alias("trust_level"), F.lit("inbox").alias("status"))
 
 
-@query()
-def k9_process_batch(s, d):
-    """Duplicates of stored rows first, then policy, then repeats of a row
-    that was promoted in the same batch."""
-    rows = D.memories(s, d)
-    batch, stored = rows.where(ODD), rows.where(EVEN)
-    judged = policy.evaluate(similarity.exact_duplicates(batch, stored), policy.recommended())
-    free = judged.where(~F.col("duplicate") & (F.col("outcome") == "approved"))
-    first = free.groupBy("tenant_id", "content_hash").agg(F.min("id").alias("promoted_id"))
-    joined = judged.join(first, ["tenant_id", "content_hash"], "left")
-    again = F.col("promoted_id").isNotNull() & (F.col("promoted_id") < F.col("id"))
-    return joined.select("id", F.when(F.col("duplicate") | again, "duplicate").when(F.col("outcome") == "approved", "promoted").otherwise(F.col("outcome")).alias("outcome"))
-
-
 @query("SELECT lifecycle, count(*) FILTER (lifecycle = 'active') AS changed, count(*) FILTER (lifecycle = 'deprecated') AS unchanged, count(*) FILTER (lifecycle NOT IN ('active', 'deprecated')) AS illegal FROM memories GROUP BY lifecycle")
 def k16_batch_transition(s, d):
     moved = records.with_transition(D.memories(s, d), F.lit("deprecated"))
@@ -324,38 +282,16 @@ def k24_corpus_accounting(s, d):
 # L, M, N, O: search, graph, chain, measures.
 
 
-@query()
-def l11_governed_page(s, d):
-    rows = records.visible(D.memories(s, d))
-    ranked = search.rerank(search.top(search.bm25(rows, QUERY), 100), rows, ts(D.NOW))
-    return search.page(ranked, 2, 20, [F.desc("final_score"), F.asc("id")])
-
-
-@query("SELECT link_type, count(*) AS n, max(weight) AS most FROM links WHERE source_id <> target_id GROUP BY link_type")
-def m4_link_types(s, d):
-    return D.links(s, d).where("source_id <> target_id").groupBy("link_type").agg(counted(), F.max("weight").alias("most"))
-
-
-@query()
+@query(
+    """, strong AS (SELECT * FROM links WHERE weight > 0.08), a AS (SELECT target_id AS id, max(weight) AS weight, 1 AS depth FROM strong WHERE source_id = 5 GROUP BY 1),
+    b AS (SELECT l.target_id AS id, max(l.weight) AS weight, 2 AS depth FROM a JOIN strong l ON l.source_id = a.id GROUP BY 1), c AS (SELECT l.target_id AS id, max(l.weight) AS weight, 3 AS depth FROM b JOIN strong l ON l.source_id = b.id GROUP BY 1),
+    e AS (SELECT l.target_id AS id, max(l.weight) AS weight, 4 AS depth FROM c JOIN strong l ON l.source_id = c.id GROUP BY 1)
+    SELECT id, depth, weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, weight DESC) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM e) WHERE id <> 5) WHERE n = 1"""
+)
 def m2_traverse_deeper(s, d):
     return graph.traverse(D.links(s, d).where("weight > 0.08"), 5, 4)
 
 
-@query()
-def n2_verify_chain(s, d):
-    """A chain over one tenant's events with one changed row: its reasons."""
-    rows = D.audit_events(s, d).where("tenant_id = 't1'").select("tenant_id", "seq", F.col("id").cast("string").alias("id"), "action", F.col("memory_id").cast("string").alias("memory_id"), "details_json")
-    made = audit.chained(rows, "tenant_id")
-    least = made.agg(F.min("seq")).first()[0]
-    changed = made.withColumn("action", F.when(F.col("seq") == least, "deleted").otherwise(F.col("action")))
-    return audit.verify_chain(changed).groupBy("reason").agg(counted())
-
-
-@query("SELECT tenant_id, arg_max(id, seq) AS head, count(*) AS n FROM audit_events WHERE action <> 'archived' GROUP BY tenant_id")
-def n6_chain_heads(s, d):
-    return D.audit_events(s, d).where("action <> 'archived'").groupBy("tenant_id").agg(F.max_by("id", "seq").alias("head"), counted())
-
-
 @query(plain="SELECT lang, avg(CASE WHEN n_chars > 300 THEN 1.0 ELSE 0.0 END) AS predicted, avg(quality) AS actual, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), ())")
 def o5_stratified(s, d):
     rows = D.read(s, d, "documents").join(D.read(s, d, "labels"), "doc_id")
@@ -374,17 +310,6 @@ def p11_rolling_window(s, d):
     return reports.cited_queries(D.access_log(s, d), ts(SINCE), ts(UNTIL)).where("total > 5").select("actor", F.col("total").alias("n"))
 
 
-@query()
-def i3_uuid5(s, d):
-    return D.memories(s, d).select("id", H.uuid5(F.col("title")).alias("uuid"))
-
-
-@query()
-def i12_content_jaccard(s, d):
-    rows = D.memories(s, d).select("id", "title", "content")
-    return rows.select("id", T.jaccard(T.content_tokens(F.col("title")), T.content_tokens(F.col("content")), 0.0).alias("similarity"))
-
-
 # Classical joins, top-k and windows over the star schema.
 
 
@@ -410,7 +335,15 @@ def i36_ignored_paths(s, d):
     return D.read(s, d, "pages").select("page_id", ignored(F.regexp_replace("url", "^https?://", "")).alias("ignored"))
 
 
-@query()
+def limited_sql(rows: str, most: int, window_ms: int) -> str:
+    """After WITH: each event (event_id, who, ms) of ``rows`` with ``allowed``."""
+    return f"""WITH RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY ms, event_id) AS n FROM ({rows})),
+    w AS (SELECT event_id, who, n, ms AS start, 1 AS seen FROM q WHERE n = 1
+      UNION ALL SELECT q.event_id, q.who, q.n, CASE WHEN q.ms - w.start > {window_ms} THEN q.ms ELSE w.start END, CASE WHEN q.ms - w.start > {window_ms} THEN 1 ELSE w.seen + 1 END FROM w JOIN q ON q.who = w.who AND q.n = w.n + 1),
+    judged AS (SELECT event_id, who, seen <= {most} AS allowed FROM w) """
+
+
+@query(plain=limited_sql("SELECT event_id, user_id AS who, epoch_ms(ts) AS ms FROM events", 3, 3_600_000) + "SELECT event_id, allowed FROM judged")
 def p6_rate_limit(s, d):
     from archivum.operators.limits import limited
 
@@ -418,18 +351,6 @@ def p6_rate_limit(s, d):
     return limited(events, "user_id", "at", 3, 3_600_000).select("event_id", "allowed")
 
 
-@query()
-def n3_anchor_breaks(s, d):
-    """Anchors after 10, 20 and 30 rows of a chain; the second is edited."""
-    from archivum.operators import anchors as A
-
-    rows = D.audit_events(s, d).where("tenant_id = 't2'").select("tenant_id", "seq", F.col("id").cast("string").alias("id"), "action", F.col("memory_id").cast("string").alias("memory_id"), "details_json")
-    chain = audit.chained(rows, "tenant_id")
-    heads = audit.with_position(chain).where("position in (10, 20, 30)").select(F.col("position").alias("chainedRows"), F.col("entry_hash").alias("chainHead"))
-    base = heads.select((F.col("chainedRows") / 10 - 1).cast("int").alias("index"), F.lit(1).alias("schemaVersion"), F.lit("2026-01-01T00:00:00.000Z").alias("anchoredAt"), F.lit("t2").alias("tenantId"), "chainedRows", F.when(F.col("chainedRows") == 20, "x").otherwise(F.col("chainHead")).alias("chainHead"), F.lit(None).cast("string").alias("prevAnchorHash"))
-    return A.anchor_breaks(A.with_anchor_hash(base, "anchorHash"), chain)
-
-
 @query("SELECT CAST(id AS VARCHAR) AS path, CASE WHEN id % 3 = 0 THEN 'no_manifest' WHEN id % 3 = 1 THEN 'verified' ELSE 'tampered' END AS state FROM memories")
 def a7_verified_files(s, d):
     from archivum.operators.anchors import verified_files
@@ -437,31 +358,3 @@ def a7_verified_files(s, d):
     files = D.memories(s, d).select(F.col("id").cast("string").alias("path"), F.col("content").cast("binary").alias("content"), "content_hash", "id")
     sidecars = files.where("id % 3 > 0").select("path", F.when(F.col("id") % 3 == 1, F.col("content_hash")).otherwise("0").alias("sha256"))
     return verified_files(files.select("path", "content"), sidecars)
-
-
-# Heuristics.
-
-
-@query(plain="SELECT doc_id AS id, CASE WHEN regexp_matches(lower(substr(text, 1, 600)), 'apache license|mit license|gnu general public license|gnu lesser general public license|mozilla public license|permission is hereby granted, free of charge|redistribution and use in source and binary forms') THEN 'license' ELSE 'other' END AS noise FROM documents WHERE length(text) < 900")
-def i37_noise(s, d):
-    from archivum.functions.heuristics import noise
-
-    rows = D.memories(s, d).where("length(content) < 900")
-    return rows.select("id", F.coalesce(noise(F.col("content"), F.col("title")), F.lit("other")).alias("noise"))
-
-
-@query(plain="SELECT page_id, CASE WHEN regexp_matches(lower(url), '/(decisions|adrs?)(/|$)') THEN 'decision' ELSE 'other' END AS category FROM pages")
-def i21_path_category(s, d):
-    from archivum.functions.heuristics import path_category
-
-    category = path_category(F.col("url"))
-    return D.read(s, d, "pages").select("page_id", F.when(category == "decision", category).otherwise("other").alias("category"))
-
-
-@query()
-def o13_groundedness(s, d):
-    """Each record's title as a claim about its content."""
-    from archivum.functions.heuristics import grounded, support
-
-    rows = D.memories(s, d)
-    return rows.select("id", F.round(support(F.col("title"), F.col("content")), 6).alias("support"), grounded(F.col("title"), F.col("content")).alias("grounded"))

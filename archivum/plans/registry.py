@@ -191,24 +191,6 @@ def d5_exact_duplicates(s, d):
     return similarity.exact_duplicates(memories.where("id % 2 = 1"), memories.where("id % 2 = 0")).select("id", "duplicate")
 
 
-@query(
-    """, t AS (SELECT id, tenant_id, category, lifecycle, list_distinct(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: w <> '')) AS w FROM memories)
-    SELECT left_id, right_id, similarity FROM (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS similarity,
-      row_number() OVER (PARTITION BY a.id ORDER BY len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) DESC, b.id) AS n
-      FROM t a JOIN t b ON a.tenant_id = b.tenant_id AND a.category = b.category AND a.id % 2 = 1 AND b.id <> a.id AND b.lifecycle = 'active' AND len(a.w) > 0 AND len(b.w) > 0
-      WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.6) WHERE n = 1"""
-)
-def d7_supersession(s, d):
-    memories = D.memories(s, d)
-    return similarity.supersessions(memories.where("id % 2 = 1"), memories)
-
-
-@query()
-def d8_contradictions(s, d):
-    memories = D.memories(s, d)
-    return similarity.contradictions(memories.where("id % 2 = 1"), memories)
-
-
 @query("SELECT coalesce(m.tenant_id, c.tenant_id) AS tenant_id, coalesce(m.n, 0) AS n_memories, coalesce(c.n, 0) AS n_candidates FROM (SELECT tenant_id, count(*) AS n FROM memories WHERE id % 2 = 0 GROUP BY 1) m FULL JOIN (SELECT tenant_id, count(*) AS n FROM memories WHERE id % 2 = 1 GROUP BY 1) c ON m.tenant_id = c.tenant_id")
 def d13_tenants(s, d):
     memories = D.memories(s, d)
@@ -324,42 +306,16 @@ def i1_content_hash(s, d):
     return D.memories(s, d).select("id", H.content_hash(F.col("content")).alias("content_hash"))
 
 
-@query()
-def i4_derived_ids(s, d):
-    return D.memories(s, d).select("id", H.derived_id(F.col("tenant_id"), F.col("id"), F.col("content_hash")).alias("derived"))
-
-
-@query()
-def i5_origin_token(s, d):
-    return D.memories(s, d).select("id", H.hmac_sha256(b"fixture", F.concat_ws("\u0000", F.col("id").cast("string"), "tenant_id")).alias("token"))
-
-
 @query("SELECT id, round(exp(-ln(2) / 90 * (date_diff('millisecond', updated_at, TIMESTAMP '2026-01-01 00:00:00') / 86400000.0)), 9) AS freshness FROM memories")
 def i6_freshness(s, d):
     return D.memories(s, d).select("id", F.round(T.freshness(F.col("updated_at"), ts(D.NOW)), 9).alias("freshness"))
 
 
-@query()
-def i10_entropy(s, d):
-    return D.memories(s, d).select("id", F.round(T.entropy(F.col("content")), 6).alias("entropy"))
-
-
 @query("SELECT id, len(list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> ''))) AS n FROM memories")
 def i13_unique_words(s, d):
     return D.memories(s, d).select("id", F.size(T.title_tokens(F.col("content"))).cast("long").alias("n"))
 
 
-@query("SELECT id, CASE WHEN regexp_matches(content, '\\bAKIA[A-Z0-9]{16}\\b') OR regexp_matches(content, '(password|secret|token|api_key)[\"'']?\\s*[:=]\\s*[\"'']?[A-Za-z0-9+/_.=-]{8,}') OR regexp_matches(content, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'restricted' WHEN regexp_matches(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') OR regexp_matches(content, '\\b[2-9]\\d{2}[-. ]\\d{3}[-. ]\\d{4}\\b') OR regexp_matches(content, '\\b\\d{3}-\\d{2}-\\d{4}\\b') THEN 'confidential' ELSE 'other' END AS level FROM memories")
-def i29_sensitivity(s, d):
-    level = T.sensitivity(F.col("content"))
-    return D.memories(s, d).select("id", F.when(level.isin("internal", "public"), "other").otherwise(level).alias("level"))
-
-
-@query(plain="SELECT doc_id AS id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[REDACTED:email]', 'g') AS clean FROM documents")
-def i30_redaction(s, d):
-    return D.memories(s, d).select("id", T.redact(F.col("content"), {"email": T.PII["email"]}).alias("clean"))
-
-
 @query(plain="SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '/+$', '')) AS url FROM pages")
 def i26_urls(s, d):
     return D.read(s, d, "pages").select("page_id", T.normalized_url(F.col("url")).alias("url"))
@@ -368,11 +324,6 @@ def i26_urls(s, d):
 # Policy (J) and pipelines (K).
 
 
-@query()
-def j10_policy_pipeline(s, d):
-    return policy.evaluate(D.memories(s, d), policy.recommended()).select("id", "outcome", "rejected_by", F.array_join("flagged_by", ",").alias("flagged_by"))
-
-
 @query("SELECT id, CASE WHEN trust_level = 'untrusted' THEN 'flag' ELSE 'pass' END AS result FROM memories")
 def j4_source_trust(s, d):
     return D.memories(s, d).select("id", policy.source_trust("low", "flag").alias("result"))
@@ -383,15 +334,6 @@ def j6_sensitivity_gate(s, d):
     return D.memories(s, d).select("id", policy.sensitivity_gate().alias("result"))
 
 
-@query(
-    """SELECT id, round(CASE WHEN trim(title) <> '' THEN 0.2 ELSE 0 END + CASE WHEN length(content) > 200 THEN 0.2 WHEN length(content) > 50 THEN 0.1 ELSE 0 END + 0.05
-    + CASE WHEN trust_level = 'high' THEN 0.05 ELSE 0 END + CASE WHEN len(list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> ''))) > 15 THEN 0.1 ELSE 0 END
-    + CASE WHEN source IN ('manual', 'import') THEN 0.1 ELSE 0 END, 3)::DOUBLE AS score FROM memories"""
-)
-def j5_relevance(s, d):
-    return D.memories(s, d).select("id", policy.relevance().alias("score"))
-
-
 @query(f"SELECT id, 'deprecated' AS lifecycle FROM memories WHERE tenant_id = 'en' AND lifecycle = 'active' AND updated_at < TIMESTAMP '{STALE}'")
 def k17_staleness_sweep(s, d):
     swept = records.stale(records.find(D.memories(s, d), tenant_id="en"), ts(STALE))
@@ -413,13 +355,6 @@ def l1_bm25(s, d):
     return search.bm25(D.memories(s, d), QUERY).select("id", F.round("score", 9).alias("score"))
 
 
-@query(plain="SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id < 10) WHERE rank <= 10")
-def l9_knn(s, d):
-    vectors = D.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("collection"), F.col("embedding").alias("vector"))
-    queries = vectors.where("id < 10").select(F.col("id").alias("query_id"), "collection", F.col("vector").alias("query"))
-    return search.knn(vectors, queries).select("query_id", "id", "rank")
-
-
 @query(
     """, a AS (SELECT id, row_number() OVER (ORDER BY updated_at DESC, id) AS rank FROM memories QUALIFY rank <= 50), b AS (SELECT id, row_number() OVER (ORDER BY length(content) DESC, id) AS rank FROM memories QUALIFY rank <= 50)
     SELECT id, round(sum(1 / (60 + rank)), 12) AS score, min(rank) AS best_rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id"""
@@ -435,13 +370,6 @@ def l6_rank_fusion(s, d):
     return fused.select("id", F.round("score", 12).alias("score"), "best_rank")
 
 
-@query()
-def l8_governed_search(s, d):
-    memories = records.visible(records.in_scope(D.memories(s, d), "curated"))
-    hits = search.top(search.bm25(memories, QUERY), 100)
-    return search.rerank(hits, memories, ts(D.NOW)).orderBy(F.desc("final_score"), "id")
-
-
 @query(
     """, one AS (SELECT target_id AS id, max(weight) AS weight, 1 AS depth FROM links WHERE source_id = 5 GROUP BY 1),
     two AS (SELECT l.target_id AS id, max(l.weight) AS weight, 2 AS depth FROM one JOIN links l ON l.source_id = one.id GROUP BY 1)
@@ -451,38 +379,26 @@ def m2_traverse(s, d):
     return graph.traverse(D.links(s, d), 5, 2)
 
 
-@query("SELECT id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT source_id AS id, 1 AS o, 0 AS i FROM links UNION ALL SELECT target_id, 0, 1 FROM links) GROUP BY id")
-def m3_degrees(s, d):
-    return graph.degrees(D.links(s, d))
-
-
 # Evaluation.
 
 
-@query(
-    plain="""WITH r AS (SELECT CAST(doc_id % 20 AS BIGINT) AS query_id, doc_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
-    g AS (SELECT CAST(doc_id % 20 AS BIGINT) AS query_id, doc_id FROM labels WHERE toxic = 1)
-    SELECT w.query_id, coalesce(n_hits, 0) / n_gold AS recall, coalesce(rr, 0) AS mrr FROM (SELECT query_id, count(*) AS n_gold FROM g GROUP BY 1) w
-    LEFT JOIN (SELECT r.query_id, count(*) AS n_hits, max(1 / rank) AS rr FROM r JOIN g ON r.query_id = g.query_id AND r.doc_id = g.doc_id WHERE rank <= 10 GROUP BY 1) h ON w.query_id = h.query_id"""
-)
-def n1_retrieval_measures(s, d):
-    docs = D.read(s, d, "documents").withColumn("query_id", F.col("doc_id") % 20)
-    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "doc_id"))).where("rank <= 10")
-    gold = D.read(s, d, "labels").where("toxic = 1").select((F.col("doc_id") % 20).alias("query_id"), "doc_id")
-    return reports.retrieval(ranked, gold).select("query_id", "recall", "mrr")
+def _load() -> None:
+    """The other modules register their own when they are imported."""
+    from archivum.plans import chains, dataflows, extra, lookups, measures, more, retrieval, scalars, sources, streams, surface, writes  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return l8_governed_search(spark, sf_dir)
+    from archivum.plans.retrieval import l10_cited_rerank
+
+    return l10_cited_rerank(spark, sf_dir)
 
 
 def queries() -> dict:
-    from archivum.plans import extra, more  # noqa: F401  they register their own
+    _load()
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from archivum.plans import extra, more  # noqa: F401
-
+    _load()
     return dict(_sql)
