@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from archivum.functions import hashing as H
 from archivum.functions import text as T
 from archivum.operators import audit, policy, reports, search, similarity
+from archivum.plans.domain import NAMESPACE
 from archivum.sources import jsonl, markdown
 from archivum.streaming import intake
 
@@ -19,12 +20,12 @@ TEXTS = ["", "a", "hello world", "é🙂 漢字", "tab\tand\nline", None]
 
 def test_hashes_and_ids(spark):
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "id int, t string")
-    for r in frame.select("t", H.content_hash(F.col("t")).alias("h"), H.uuid5(F.col("t")).alias("u"), H.hmac_sha256(b"k" * 80, F.col("t")).alias("m"), T.utf16_length(F.col("t")).alias("n")).collect():
+    for r in frame.select("t", H.content_hash(F.col("t")).alias("h"), H.uuid5(F.col("t"), NAMESPACE).alias("u"), H.hmac_sha256(b"k" * 80, F.col("t")).alias("m"), T.utf16_length(F.col("t")).alias("n")).collect():
         if r.t is None:
             assert r.h is None and r.m is None
             continue
         assert r.h == hashlib.sha256(r.t.encode()).hexdigest()
-        assert r.u == str(uuid.uuid5(uuid.UUID(H.NAMESPACE), r.t))
+        assert r.u == str(uuid.uuid5(uuid.UUID(NAMESPACE), r.t))
         assert r.m == hmac.new(b"k" * 80, r.t.encode(), "sha256").hexdigest()
         assert r.n == len(r.t.encode("utf-16-le")) // 2
 
@@ -40,7 +41,7 @@ def test_small_text_functions(spark):
     row = spark.createDataFrame([("see [[one]] and [[two|text]] not `[[three]]`", "kb://x/some-file_name.v2.md", "ssh://git@Host.com:team/Repo.git", "token = abcdefgh12 at a@b.org")], "w string, c string, u string, s string")
     got = row.select(T.wiki_links(F.col("w")).alias("w"), T.citation_id(F.col("c")).alias("c"), T.citation_title(F.col("c")).alias("t"), T.normalized_url(F.col("u")).alias("u"), T.sensitivity(F.col("s")).alias("s"), T.redact(F.col("s"), T.PII).alias("r")).first()
     assert got.w == ["one", "two"] and got.c == "some-file_name.v2" and got.t == "some file name.v2"
-    assert got.u == "host.com/team/repo" and got.s == "restricted" and got.r.endswith("at [REDACTED:email]")
+    assert got.u == "host.com/team/repo" and got.s == "restricted" and got.r.endswith("at [REDACTED:email-address]")
 
 
 def test_chain_reasons(spark):
