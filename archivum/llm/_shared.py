@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archivum.shipping import ship
+from archivum.storage import discard, fresh_path, stored  # noqa: F401  operators take them from here
 
 #: Rows of one Arrow batch handed to Python. Texts are unbounded, so batches
 #: are kept short in rows.
@@ -24,62 +23,10 @@ SAMPLE_BYTES = 16 << 20
 HASHES = 1 << 40
 
 
-_own_dirs: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    and everything runs in one JVM (tests) a temporary folder is made; on a
-    cluster without it, this is an error.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if context.applicationId not in _own_dirs:
-            _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="archivum-")
-        where = _own_dirs[context.applicationId]
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def _file_system(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    It cuts lineage: what follows reads files that outlive any executor. They
-    go with the application, or before by ``discard``.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    files, place = _file_system(spark, path)
-    files.deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a ``stored`` table that nothing reads any more."""
-    files, place = _file_system(df.sparkSession, df.stored_at)
-    files.delete(place, True)
-
-
 def for_python(spark: SparkSession) -> None:
     """Ship this package to the workers; keep Arrow batches short in rows."""
     ship(spark)
