@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivum.llm._shared import bounded_sample, for_python, release_memory, stored
+from archivum.llm._shared import HASHES, bounded_sample, for_python, release_memory, stored
 
 #: Words whose counts every task has, at most.
 HOT = 131_072
@@ -41,6 +41,8 @@ SAMPLE_TEXTS, EPOCHS = 1200, 2
 WIDE, RATE, PARTS = 512, 0.002, 64
 #: Steps of a window of scoring, and tokens scored together.
 STEPS, TOKENS = 64, 400_000
+#: Documents scored together, at most.
+SIDE_BY_SIDE = 2_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -72,18 +74,18 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def hot_words(counts: DataFrame, most: int = HOT) -> dict[bytes, int]:
-    """The most frequent words, at most ``most``: all those above a count that
-    a histogram (eighths of powers of two) shows to be rare enough."""
+    """The most frequent words, about ``most``: all those above a count that a
+    histogram (eighths of powers of two) shows to be rare enough, and of the
+    next step those with the smallest hashes, as many as there is room for."""
     step = F.floor(F.log2("n") * 8)
-    total, least = 0, None
+    room, wanted = most, F.lit(False)
     for row in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
-        total += row["count"]
-        if total > most:
+        share = min(1.0, room / row["count"])
+        wanted = wanted | ((step == row.step) & (F.pmod(F.xxhash64("word"), F.lit(HASHES)) < int(HASHES * share)))
+        room -= row["count"]
+        if room <= 0:
             break
-        least = row.step
-    if least is None:
-        return {}
-    return {bytes(r.word): r.n for r in counts.where(step >= least).collect()}
+    return {bytes(r.word): r.n for r in counts.where(wanted).collect()}
 
 
 def side_for(distinct: int) -> int:
@@ -255,23 +257,40 @@ class Adam:
                 w[k] = w[k] - (rate(step) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
+    def fit_stream(self, stream: np.ndarray, begins: np.ndarray, lanes: int, least: int, rate) -> tuple[np.ndarray, np.ndarray]:
+        """Whole windows of ``lanes`` parts of the stream side by side, then the
+        rest in fewer, until ``least`` tokens or fewer are left; those."""
+        while len(stream) > least:
+            wide = max(1, min(lanes, len(stream) // (4 * WINDOW)))
+            window = min(WINDOW, len(stream))
+            length = len(stream) // wide // window * window
+            self.fit(stream, begins, wide, length, window, rate)
+            stream, begins = stream[wide * length :], begins[wide * length :]
+        return stream, begins
+
+
+def streamed(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents end to end, each with its end, and where each begins."""
+    lengths = np.array([len(d) + 1 for d in documents], np.int64)
+    stream, begins = np.zeros(lengths.sum(), np.int32), np.zeros(lengths.sum(), bool)
+    for at, tokens in zip((np.cumsum(lengths) - lengths).tolist(), documents):
+        stream[at : at + len(tokens)] = tokens
+        begins[at] = True
+    return stream, begins
+
+
 def train(documents: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, seed: int = 11, side: int = CLASSES) -> Network:
-    """Adam over windows of streams of whole documents, in a fixed order."""
+    """Adam over windows of streams of whole documents, in a fixed order; all
+    tokens are fitted in every epoch."""
     network = Network(seed=seed, side=side)
     network.start(counts)
     adam = Adam(network)
     rng = np.random.default_rng(seed)
-    total = sum(len(d) + 1 for d in documents)
-    lanes = max(1, min(LANES, total // (4 * WINDOW)))
-    length = total // lanes // WINDOW * WINDOW
-    planned = epochs * (length // WINDOW)
+    planned = epochs * (sum(len(d) + 1 for d in documents) // (LANES * WINDOW) + 1)
     for _ in range(epochs):
-        stream, begins = [], []
-        for k in rng.permutation(len(documents)):
-            stream.append(np.append(documents[k], 0)), begins.append(np.eye(1, len(documents[k]) + 1, dtype=bool)[0])
-        if not length:
-            break
-        adam.fit(np.concatenate(stream), np.concatenate(begins), lanes, length, WINDOW, lambda step: 0.01 * (1 - step / (planned + 1)))
+        if documents:
+            stream, begins = streamed([documents[k] for k in rng.permutation(len(documents))])
+            adam.fit_stream(stream, begins, LANES, 0, lambda step: 0.01 * max(0.02, 1 - step / (planned + 1)))
     return network
 
 
@@ -280,26 +299,22 @@ def fit_all(network: Network, documents: Iterator[np.ndarray]) -> int:
     fill no window of all streams wait for the next ones, and the last ones are
     taken in fewer streams. The number of tokens, all of them fitted."""
     adam = Adam(network)
-    stream, begins, held, done = [], [], 0, 0
+    rest, fresh = np.zeros(0, np.int32), np.zeros(0, bool)
+    held, size, done = [], 0, 0
 
     def fit(least: int) -> None:
-        nonlocal stream, begins, held, done
-        rest, fresh = np.concatenate(stream), np.concatenate(begins)
-        while len(rest) > least:
-            lanes = max(1, min(WIDE, len(rest) // (4 * WINDOW)))
-            window = min(WINDOW, len(rest))
-            length = len(rest) // lanes // window * window
-            adam.fit(rest, fresh, lanes, length, window, lambda _: RATE)
-            done += lanes * length
-            rest, fresh = rest[lanes * length :], fresh[lanes * length :]
-        stream, begins, held = [rest], [fresh], len(rest)
+        nonlocal rest, fresh, held, size
+        stream, begins = streamed(held)
+        held, size = [], 0
+        rest, fresh = adam.fit_stream(np.concatenate((rest, stream)), np.concatenate((fresh, begins)), WIDE, least, lambda _: RATE)
 
     for tokens in documents:
-        stream.append(np.append(tokens, 0).astype(np.int32)), begins.append(np.eye(1, len(tokens) + 1, dtype=bool)[0])
-        held += len(tokens) + 1
-        if held > TOKENS:
+        held.append(tokens)
+        size += len(tokens) + 1
+        done += len(tokens) + 1
+        if size > TOKENS:
             fit(WIDE * 4 * WINDOW)
-    if held:
+    if held or len(rest):
         fit(0)
     return done
 
@@ -349,7 +364,8 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
 
     Null texts are empty: the end alone. Repeated rows stay. Without training
     rows every token is unknown and the network untrained. Other columns of
-    either table don't matter.
+    either table don't matter; a kept one that is named like an output gives
+    way to it.
     """
     spark = docs.sparkSession
     for_python(spark)
@@ -391,35 +407,44 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
         known_words = min(vocabulary, cold)
         item = pa.struct([("word", pa.binary()), ("n", pa.int64())])
 
-        def out(batch, done: int, documents, sums) -> pa.RecordBatch:
+        def out(rows: list[pa.RecordBatch], documents, sums) -> pa.RecordBatch:
             logs = net.score(documents) / np.log(10)
             n, known, base, extra, rare = zip(*sums)
-            arrays = [c.slice(done, len(sums)) for c in batch.columns[1:]]
+            arrays = [c.combine_chunks() for c in pa.Table.from_batches(rows).columns]
             arrays += [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(logs + np.array(extra), pa.float64())]
             offsets = np.cumsum([0, *map(len, rare)])
             pairs = pa.StructArray.from_arrays([pa.array([w for c in rare for w in c], pa.binary()), pa.array([m for c in rare for m in c.values()], pa.int64())], fields=list(item))
             arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs))
-            return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[1:], "n_tokens", "n_known", "base_score", "score", "rare"])
+            return pa.RecordBatch.from_arrays(arrays, names=inner)
 
+        # Documents of several batches run side by side, so that a long one
+        # isn't alone for most of its steps.
+        rows, documents, sums, held = [], [], [], 0
         for batch in batches:
-            documents, sums, done, held = [], [], 0, 0
-            for value in batch.column(0):
+            done = 0
+            for i, value in enumerate(batch.column(0)):
                 found = words(value.as_py())
                 at = np.frombuffer(array("i", map(place.get, found, repeat(cold))), np.int32)
                 rare_at = np.flatnonzero(at == cold)
                 documents.append(np.where(at < known_words, at + 2, 1).astype(np.int32))
                 sums.append((len(found) + 1, len(found) - len(rare_at) + end_known, float(base_terms[at].sum()) + end_term, float(other_terms[at].sum()), Counter(found[k] for k in rare_at.tolist())))
                 held += len(found)
-                if held > TOKENS:
-                    yield out(batch, done, documents, sums)
-                    done += len(sums)
-                    documents, sums, held = [], [], 0
-            if sums:
-                yield out(batch, done, documents, sums)
-
-    ready = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), *keep, F.monotonically_increasing_id().alias("__row"))
-    names = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    made = ready.mapInArrow(run, f"{names}, __row long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,n:bigint>>")
+                if held > TOKENS or len(sums) >= SIDE_BY_SIDE:
+                    rows.append(batch.slice(done, i + 1 - done).select(range(1, batch.num_columns)))
+                    yield out(rows, documents, sums)
+                    rows, documents, sums, held, done = [], [], [], 0, i + 1
+            if done < batch.num_rows:
+                rows.append(batch.slice(done).select(range(1, batch.num_columns)))
+        if sums:
+            yield out(rows, documents, sums)
+        release_memory()
+
+    outputs = "n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,n:bigint>>"
+    keep = [c for c in keep if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
+    inner = [*(f"k{i}" for i in range(len(keep))), "__row", "n_tokens", "n_known", "base_score", "score", "rare"]
+    ready = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.monotonically_increasing_id().alias("__row"))
+    names = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    made = ready.mapInArrow(run, f"{names}__row long, {outputs}")
     made = stored(made, "lm")  # the row numbers hold from here on
 
     rare = made.select("__row", F.explode("rare").alias("r")).select("__row", "r.word", F.col("r.n").alias("m")).join(counts, "word", "left")
@@ -432,7 +457,7 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
     joined = made.drop("rare").join(summed, "__row", "left")
     zero = F.lit(0.0)
     return joined.select(
-        *keep,
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
