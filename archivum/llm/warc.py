@@ -27,8 +27,9 @@ from archivum.llm._shared import for_python, fresh_path, stored
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
-#: A WARC header longer than this (decoded) is not taken for one.
-HEADER_LIMIT = 1 << 16
+#: Digests that occur again (about 50 bytes each) are broadcast up to so many;
+#: beyond, they are joined under so many salts.
+BROADCAST_DIGESTS, SALTS = 400_000, 32
 #: A task begins a new file beyond this.
 ARCHIVE_BYTES = 1 << 30
 SPLIT_BYTES = 8 << 20
@@ -56,15 +57,23 @@ def mark_revisits(df: DataFrame, key: str, payload: str, min_bytes: int = 0, kee
 
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with
     the smallest key is the response and the others revisit it. Repeats of
-    that smallest key are responses too, as is a row with a null key. The
-    smallest keys are pre-aggregated, and only digests that occur again are
-    joined, so that a payload which a third of the rows share is one row.
+    that smallest key are responses too, as is a row with a null key.
+
+    Digests that occur again are found without the payloads. If they are few,
+    they are broadcast and no payload is moved; else they are joined under a
+    salt, so that a payload which a third of the rows share isn't one task's.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = df.select(F.col(key).alias(key), *[c for c in keep if c != key], body.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    again = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min(key).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    joined = rows.join(again, "payload_digest", "left")
+    narrow = rows.where(F.col("payload_bytes") >= min_bytes).select(F.col("payload_digest").alias("__digest"), F.col(key).alias("__key"))
+    again = stored(narrow.groupBy("__digest").agg(F.min("__key").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"), "repeated-digests")
+    if again.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(again), rows["payload_digest"] == again["__digest"], "left").drop("__digest")
+    else:
+        salted = again.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__own", F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int"))
+        joined = rows.join(salted, (rows["payload_digest"] == salted["__digest"]) & (rows["__own"] == salted["__salt"]), "left").drop("__digest", "__salt", "__own")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("__first").isNotNull() & (F.col(key) != F.col("__first"))
     revisit = F.coalesce(revisit, F.lit(False))
     return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("__first"))).drop("__first")
@@ -156,17 +165,19 @@ def parse_header(data: bytes) -> tuple[dict[str, str], int] | None:
 
 
 def _starts_record(file: _Bytes, at: int) -> bool:
-    """Whether a member with a WARC header begins here."""
-    opened, seen, pos = zlib.decompressobj(31), b"", at
+    """Whether a member with a WARC header begins here. What doesn't begin
+    like one is given up at once; a header is read to its end, however long."""
+    opened, seen, pos = zlib.decompressobj(31), bytearray(), at
     try:
-        while len(seen) < HEADER_LIMIT and pos < file.size and not opened.eof:
+        while pos < file.size and not opened.eof:
             piece = file.read(pos, 4096)
-            seen += opened.decompress(piece, HEADER_LIMIT)
+            before = max(0, len(seen) - 3)
+            seen += opened.decompress(piece)
             pos += len(piece)
             if len(seen) >= 7 and not seen.startswith(b"WARC/1."):
                 return False
-            if b"\r\n\r\n" in seen:
-                return parse_header(seen) is not None
+            if seen.find(b"\r\n\r\n", before) >= 0:
+                return parse_header(bytes(seen)) is not None
     except zlib.error:
         return False
     return False
