@@ -76,3 +76,41 @@ def test_tokens(stages):
     assert set(before) == set(after)
     for k, r in after.items():
         assert list(r.ids) == library.encode_ordinary(before[k].text) and r.n_tokens == len(r.ids) and r.round_trip
+
+
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, h long, id long, kept boolean, row string"
+ONE, OTHER = " ".join(f"alpha{k}" for k in range(40)), " ".join(f"beta{k}" for k in range(40))
+
+
+@pytest.fixture(scope="module")
+def edge_docs(spark):
+    rows = [(1, ONE), (1, ONE), (1, OTHER), (None, ONE), (2, None), (3, ""), (4, "x " * 30_000), (5, ONE + " more"), (6, OTHER), (None, "by itself alone")]
+    return spark.createDataFrame([(k, t, "en", None, None, 0.5, 1, 7, 9, True, "r") for k, t in rows], EDGES)
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_columns_and_empty_tables(spark, data, edge_docs, k):
+    stage = corpus_pipeline.STAGES[k][1]
+    out = stage(spark, edge_docs, data)
+    assert out.columns == edge_docs.columns and out.count() <= edge_docs.count()
+    assert stage(spark, edge_docs.limit(0), data).count() == 0
+
+
+def test_one_of_each_id_and_text_stays(spark, data, edge_docs):
+    kept = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.keep_one_of_each(spark, edge_docs, data).collect())
+    assert kept == sorted([(1, ONE), (1, OTHER), (2, ""), (3, ""), (4, "x " * 30_000), (0, "by itself alone")])
+
+
+def test_leaks_go_by_text(spark, data):
+    item = spark.read.parquet(f"{data}/benchmark.parquet").orderBy("item_id").first().text
+    docs = spark.createDataFrame([(5, item), (5, "nothing of it"), (None, item), (None, None)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_leaks(spark, docs, data).collect()]
+    assert sorted(kept, key=str) == sorted([(5, "nothing of it"), (None, None)], key=str)
+
+
+def test_redaction_and_tokens_keep_every_row(spark, data, edge_docs):
+    clean = corpus_pipeline.redact_secrets(spark, edge_docs, data)
+    assert clean.count() == edge_docs.count()
+    tokens = corpus_pipeline.to_tokens(spark, clean, data).collect()
+    assert len(tokens) == edge_docs.count() and all(r.round_trip for r in tokens)
+    assert corpus_pipeline.to_tokens(spark, edge_docs.limit(0), data).count() == 0

@@ -149,6 +149,18 @@ def test_near_duplicates_are_brute_force(spark, width):
         assert got[i].n_shingles == len(sets[i]) and got[i].component_id == find(i) and got[i].kept == (find(i) == i)
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    one, other = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(3, other), (5, one), (5, other), (5, other), (7, other.replace("b29", "x")), (8, one), (None, one), (None, "z y x"), (9, None), (2, "q r s t u v"), (2, "h i j k l m")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.near_duplicates(frame).collect()
+    assert len(found) == len(rows)
+    assert {(r.id, r.component_id) for r in found} == {(3, 3), (5, 3), (7, 3), (8, 3), (None, 3), (None, None), (9, 9), (2, 2)}
+    assert all(r.kept == (r.id == r.component_id) for r in found)
+    apart = {(r.id, r.n_shingles > 1, r.component_id, r.kept) for r in neardup.near_duplicates(frame, by_text=True).collect()}
+    assert apart == {(3, True, 3, True), (5, True, 5, True), (5, True, 3, False), (7, True, 3, False), (8, True, 5, False), (None, True, 5, False), (None, False, None, True), (9, False, 9, True), (2, True, 2, True)}
+
+
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CROWDED", 1)
     monkeypatch.setattr(neardup, "BLOCK", 2)
@@ -181,6 +193,28 @@ def test_classifiers(spark, docs, module, label, bad, good):
     assert module.predict(docs.limit(0), model, 0.5).count() == 0
 
 
+def test_languages_with_lines_of_any_length(spark):
+    """A dictionary takes pieces from all over a text, not its beginning."""
+    far = "house garden tree window door " * 400 + "\n" + "zebra quagga okapi gnu " * 30
+    made = langid.dictionaries([("en", far), ("de", "haus garten baum " * 200)], size=4096)
+    assert b"zebra" in made["en"] and len(made["en"]) <= 4096
+    frame = spark.createDataFrame([(1, "the house", "en", 0.1, True), (1, "the house", "en", 0.1, True)], "doc_id long, text string, lang string, score double, rejected boolean")
+    got = langid.predict(frame, made, keep=["doc_id", "score", "rejected"])
+    assert got.columns == ["doc_id", "lang_pred", "score", "rejected"] and got.count() == 2
+
+
+def test_correlated_voters_share_their_weight():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    truth = rng.random(2000) < 0.3
+    good = [(rng.random(2000) < np.where(truth, 0.7, 0.05)) for _ in range(3)]
+    votes = np.stack([*good, good[2], good[2]], axis=1).astype(float)
+    posterior, _, weight = toxicity.label_model(votes, np.where(rng.random(2000) < 0.05, ~truth, truth).astype(float), 0.3)
+    assert weight[0] == weight[1] == 1 and weight[2] == weight[3] == weight[4] == pytest.approx(1 / 3)
+    assert ((posterior > 0.5) == truth).mean() > 0.95
+
+
 def test_language_model(spark, docs, monkeypatch):
     import math
     from collections import Counter
