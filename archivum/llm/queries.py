@@ -121,4 +121,27 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_secrets": op4_secrets, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), sized AS (
+  SELECT doc_id, g, n FROM s JOIN n USING (doc_id)
+), e AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM sized a JOIN sized b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), ways AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), reach AS (
+  SELECT x AS id, y AS other FROM ways UNION SELECT r.id, w.y FROM reach r JOIN ways w ON w.x = r.other
+), least_of AS (
+  SELECT id, min(other) AS other FROM reach GROUP BY id
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id, coalesce(other, d.doc_id) >= d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of ON id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op7_neardup": OP7_SQL}

@@ -130,6 +130,14 @@ def test_op7_groups(spark, data, texts):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_op7_sql(spark, data):
+    connection = duckdb.connect()
+    connection.sql(f"create view documents as select * from read_parquet('{data}/documents.parquet')")
+    wanted = connection.sql(queries.ORACLE_SQL["op7_neardup"]).fetchall()
+    got = queries.op7_neardup(spark, data).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
 def test_op8_base(spark, data, texts):
     counts = Counter()
     for k, text in texts.items():
