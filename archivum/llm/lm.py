@@ -78,14 +78,14 @@ def hot_words(counts: DataFrame, most: int = HOT) -> dict[bytes, int]:
     histogram (eighths of powers of two) shows to be rare enough, and of the
     next step those with the smallest hashes, as many as there is room for."""
     step = F.floor(F.log2("n") * 8)
-    room, wanted = most, F.lit(False)
+    room, least, share = most, 1 << 20, 1.0
     for row in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
-        share = min(1.0, room / row["count"])
-        wanted = wanted | ((step == row.step) & (F.pmod(F.xxhash64("word"), F.lit(HASHES)) < int(HASHES * share)))
+        least, share = row.step, min(1.0, room / row["count"])
         room -= row["count"]
         if room <= 0:
             break
-    return {bytes(r.word): r.n for r in counts.where(wanted).collect()}
+    last = (step == least) & (F.pmod(F.xxhash64("word"), F.lit(HASHES)) < int(HASHES * share))
+    return {bytes(r.word): r.n for r in counts.where((step > least) | last).collect()}
 
 
 def side_for(distinct: int) -> int:
@@ -121,30 +121,48 @@ class Network:
         self.weights["word_bias"] = share.astype(np.float32)
 
     def step(self, tokens: np.ndarray, state: np.ndarray):
+        """The next state, and what the backward pass needs. Work is done in
+        place: most of the time goes into passing over these arrays."""
         w, h = self.weights, HIDDEN
         x = w["input"][tokens]
         s = state @ w["state"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * h] + s[:, : 2 * h])))
-        reset, keep = gates[:, :h], gates[:, h:]
-        new = np.tanh(x[:, 2 * h :] + reset * s[:, 2 * h :])
-        return new + keep * (state - new), reset, keep, new, s[:, 2 * h :]
+        gates = x[:, : 2 * h]
+        gates += s[:, : 2 * h]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        reset, keep, inner = gates[:, :h], gates[:, h:], s[:, 2 * h :]
+        new = reset * inner
+        new += x[:, 2 * h :]
+        np.tanh(new, out=new)
+        out = state - new
+        out *= keep
+        out += new
+        return out, reset, keep, new, inner
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logs of the targets' probabilities after these states."""
         w = self.weights
-        logits = states @ w["class"] + w["class_bias"]
-        kinds = targets // self.side
-        rows = np.arange(len(targets))
-        out = logits[rows, kinds] - np.log(np.exp(logits).sum(axis=1))
+        kinds, words = np.divmod(targets, self.side)
         order = np.argsort(kinds, kind="stable")
-        ends = np.cumsum(np.bincount(kinds, minlength=self.side))
+        ends = np.cumsum(np.bincount(kinds, minlength=self.side)).tolist()
+        states, kinds, words = states[order], kinds[order], words[order]
+        logits = states @ w["class"]
+        logits += w["class_bias"]
+        logs = logits[np.arange(len(kinds)), kinds]
+        logs -= np.log(np.exp(logits, out=logits).sum(axis=1))
         start = 0
-        for kind, end in enumerate(ends.tolist()):
+        for kind, end in enumerate(ends):
             if end > start:
-                own = order[start:end]
-                inner = states[own] @ w["word"][kind] + w["word_bias"][kind]
-                out[own] += inner[np.arange(end - start), targets[own] % self.side] - np.log(np.exp(inner).sum(axis=1))
+                inner = states[start:end] @ w["word"][kind]
+                inner += w["word_bias"][kind]
+                own = inner[np.arange(end - start), words[start:end]]
+                own -= np.log(np.exp(inner, out=inner).sum(axis=1))
+                logs[start:end] += own
             start = end
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
@@ -189,39 +207,59 @@ class Network:
             trace.append((state, *made[1:]))
             state = made[0]
             trace[-1] += (state,)
-        states = np.concatenate([x[-1] for x in trace])
         flat = targets.ravel()
-        kinds, rows, scale = flat // self.side, np.arange(len(flat)), 1.0 / len(flat)
+        kinds, words = np.divmod(flat, self.side)
+        order = np.argsort(kinds, kind="stable")
+        ends = np.cumsum(np.bincount(kinds, minlength=self.side)).tolist()
+        kinds, words, scale = kinds[order], words[order], 1.0 / len(flat)
+        states = np.concatenate([x[-1] for x in trace])[order]
         grads = {k: np.zeros_like(v) for k, v in w.items()}
-        logits = states @ w["class"] + w["class_bias"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[rows, kinds] -= 1
-        p *= scale
+
+        def slopes(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
+            """Of the scaled loss by the logits, in their place."""
+            np.exp(logits, out=logits)
+            logits *= (scale / logits.sum(axis=1))[:, None]
+            logits[np.arange(len(right)), right] -= scale
+            return logits
+
+        logits = states @ w["class"]
+        logits += w["class_bias"]
+        p = slopes(logits, kinds)
         grads["class"], grads["class_bias"] = states.T @ p, p.sum(axis=0)
-        d_states = p @ w["class"].T
-        for kind in np.unique(kinds):
-            own = np.flatnonzero(kinds == kind)
-            inner = states[own] @ w["word"][kind] + w["word_bias"][kind]
-            q = np.exp(inner - inner.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(own)), flat[own] % self.side] -= 1
-            q *= scale
-            grads["word"][kind], grads["word_bias"][kind] = states[own].T @ q, q.sum(axis=0)
-            d_states[own] += q @ w["word"][kind].T
+        by_kind = p @ w["class"].T
+        start = 0
+        for kind, end in enumerate(ends):
+            if end > start:
+                own = states[start:end]
+                inner = own @ w["word"][kind]
+                inner += w["word_bias"][kind]
+                q = slopes(inner, words[start:end])
+                grads["word"][kind], grads["word_bias"][kind] = own.T @ q, q.sum(axis=0)
+                by_kind[start:end] += q @ w["word"][kind].T
+            start = end
+        d_states = np.empty_like(by_kind)
+        d_states[order] = by_kind
         d_states = d_states.reshape(steps, lanes, h)
-        back = np.zeros((lanes, h), np.float32)
-        d_inputs = np.empty((steps, lanes, 3 * h), np.float32)
+        back = np.zeros((lanes, h), d_states.dtype)
+        d_inputs = np.empty((steps, lanes, 3 * h), d_states.dtype)
         for t in range(steps - 1, -1, -1):
             before, reset, keep, new, inner, _ = trace[t]
-            d = d_states[t] + back
-            d_new = d * (1 - keep) * (1 - new**2)
-            d_reset = d_new * inner * reset * (1 - reset)
-            d_keep = d * (before - new) * keep * (1 - keep)
-            d_sum = np.concatenate((d_reset, d_keep, d_new * reset), axis=1)
-            d_inputs[t] = np.concatenate((d_reset, d_keep, d_new), axis=1)
+            back += d_states[t]
+            into = d_inputs[t]
+            d_reset, d_keep, d_new = into[:, :h], into[:, h : 2 * h], into[:, 2 * h :]
+            np.multiply(back, 1 - keep, out=d_new)
+            d_new *= 1 - new * new
+            np.multiply(d_new, inner, out=d_reset)
+            d_reset *= reset * (1 - reset)
+            np.subtract(before, new, out=d_keep)
+            d_keep *= back
+            d_keep *= keep * (1 - keep)
+            d_sum = into.copy()
+            d_sum[:, 2 * h :] *= reset
             grads["state"] += before.T @ d_sum
-            back = (d * keep + d_sum @ w["state"].T) * ~fresh[t][:, None]
+            back *= keep
+            back += d_sum @ w["state"].T
+            back *= ~fresh[t][:, None]
         order = np.argsort(tokens.ravel(), kind="stable")
         found = tokens.ravel()[order]
         starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
