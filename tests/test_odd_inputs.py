@@ -29,3 +29,8 @@ PROSE = "a text of more than fifteen words that says one thing and another so th
 def test_records_taken_alone_are_no_copies_of_each_other(differing):
     """Equal contents of which the policy promotes the first and flags others."""
     assert differing("k8_process_one", [(k, PROSE * 3) for k in range(1, 200, 10)]) == []
+
+
+def test_titles_of_any_characters_are_link_targets(differing):
+    titles = ["plain", "a | b", "a  b", "[x] y", "x y", "`code`", " edges ", "", "50% + 1:2", "Ünï"]
+    assert differing("d12_wiki_link_targets", [(k, t + "\nbody") for n, t in enumerate(titles) for k in (20 * n, 20 * n + 1)]) == []
