@@ -42,3 +42,13 @@ def test_titles_of_any_characters_are_link_targets(differing):
 
 def test_a_rule_with_no_upper_bound(differing):
     assert differing("q1_rule_registry", [(k, "x" * n) for k, n in enumerate([0, 99, 100, 50_000, 50_001, 120_000] * 4)]) == []
+
+
+def near_copies():
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[: 40 - n]) for n in (0, 1, 2, 9, 20)] * 20
+    return [*enumerate([*texts, None, "", "...", "w1", "w1 w2", "W1"])]
+
+
+def test_suspects_of_copies_and_empty_texts(differing):
+    assert differing("g10_suspects", near_copies()) == []
