@@ -52,3 +52,7 @@ def near_copies():
 
 def test_suspects_of_copies_and_empty_texts(differing):
     assert differing("g10_suspects", near_copies()) == []
+
+
+def test_contradictions_of_copies_and_empty_texts(differing):
+    assert differing("j9_contradiction_check", near_copies()) == []
