@@ -3,7 +3,9 @@
 What is dealt out are the prefixes of sets under an order that has rare tokens
 first, to blocks of sets of like size. A block counts common prefix tokens by
 posting lists, in place, so no row is made for a common token. No pair at or
-above the threshold is lost; most others are ruled out by the count.
+above the threshold is lost; most others are ruled out by the count. Whole sets
+of the pairs that remain are then dealt to the block where a pair was found, once
+each and not once a pair: pairs may grow as the square of the input.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from archivum.shipping import ship
 #: the order of tokens alone: the pairs found are right under any order.
 SAMPLE_ROWS, FREQUENT = 10_000, 50_000
 CELLS, COMMON, CHECKED = 4_000_000, 8_000_000, 200_000
+#: Tokens of left sets that are compared whole by one task.
+PART = 4_000_000
 #: Bits of a token as known here, and of a set's map.
 BITS, MAP = 62, 1024
-PREFIXES = "tenant_id string, category string, band int, on_left boolean, node long, n int, last long, map binary, prefix array<int>"
+PREFIXES = "tenant_id string, category string, band int, on_left boolean, node long, row long, n int, last long, map binary, prefix array<int>"
 
 
 def _first(n, threshold: float):
@@ -63,6 +67,7 @@ def _prefixes(frequent: list[int], threshold: float, on_left: bool):
                     seen.add(name)
                     keep.append(k)
             table = table.take(pa.array(keep)).combine_chunks()
+            row = table["row" if "row" in table.column_names else "node"].combine_chunks()
             lists = table["tokens"].combine_chunks()
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << BITS) - 1)
             n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
@@ -84,16 +89,17 @@ def _prefixes(frequent: list[int], threshold: float, on_left: bool):
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))
             for shift in (-1, 0, 1) if on_left else (0,):
                 yield pa.RecordBatch.from_arrays(
-                    [*(table[c].combine_chunks() for c in ("tenant_id", "category")), pa.array(bands + np.int32(shift)), pa.array(np.full(len(n), on_left)), table["node"].combine_chunks(), pa.array(n.astype(np.int32)), pa.array(last), maps, prefix],
-                    names=["tenant_id", "category", "band", "on_left", "node", "n", "last", "map", "prefix"],
+                    [*(table[c].combine_chunks() for c in ("tenant_id", "category")), pa.array(bands + np.int32(shift)), pa.array(np.full(len(n), on_left)), table["node"].combine_chunks(), row, pa.array(n.astype(np.int32)), pa.array(last), maps, prefix],
+                    names=["tenant_id", "category", "band", "on_left", "node", "row", "n", "last", "map", "prefix"],
                 )
 
     return run
 
 
 def _side(table: pa.Table, on_left: bool):
-    """node, n, last, maps, tokens and their owners, of each set once."""
-    mine = table.filter(pa.compute.equal(table["on_left"], on_left))
+    """node, row, n, last, maps, tokens and their owners, of each set once; of
+    copies, the smallest row."""
+    mine = table.filter(pa.compute.equal(table["on_left"], on_left)).sort_by([("node", "ascending"), ("row", "ascending")])
     _, once = np.unique(mine["node"].to_numpy(), return_index=True)
     mine = mine.take(pa.array(once)).combine_chunks()
     if not mine.num_rows:
@@ -102,16 +108,17 @@ def _side(table: pa.Table, on_left: bool):
     sizes = np.diff(lists.offsets.to_numpy())
     tokens = lists.flatten().to_numpy(zero_copy_only=False)
     maps = np.frombuffer(b"".join(mine["map"].to_pylist()), np.uint64).reshape(-1, MAP // 64)
-    return mine["node"].to_numpy(), mine["n"].to_numpy().astype(np.int64), mine["last"].to_numpy(), maps, tokens, np.repeat(np.arange(len(sizes)), sizes)
+    return mine["node"].to_numpy(), mine["row"].to_numpy(), mine["n"].to_numpy().astype(np.int64), mine["last"].to_numpy(), maps, tokens, np.repeat(np.arange(len(sizes)), sizes)
 
 
 def _pairs(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         left, right = _side(table, True), _side(table, False)
         found_left, found_right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        node_l = row_l = n_l = node_r = row_r = np.empty(0, np.int64)
         if left and right:
-            node_l, n_l, last_l, map_l, tokens_l, owner_l = left
-            node_r, n_r, last_r, map_r, tokens_r, owner_r = right
+            node_l, row_l, n_l, last_l, map_l, tokens_l, owner_l = left
+            node_r, row_r, n_r, last_r, map_r, tokens_r, owner_r = right
             order = np.argsort(tokens_r, kind="stable")
             tokens_r, owner_r = tokens_r[order], owner_r[order]
             low = np.searchsorted(tokens_r, tokens_l, "left")
@@ -146,22 +153,90 @@ def _pairs(threshold: float):
                         alone_a = np.bitwise_count(map_l[x] & ~map_r[y]).sum(1, np.int64)
                         alone_b = np.bitwise_count(map_r[y] & ~map_l[x]).sum(1, np.int64)
                         may = np.minimum(a[some] - alone_a, b[some] - alone_b) >= need[some]
-                        found_left.append(node_l[x[may]])
-                        found_right.append(node_r[y[may]])
+                        found_left.append(x[may])
+                        found_right.append(y[may])
                 begin = end
-        return pa.table({"left_node": np.concatenate(found_left), "right_node": np.concatenate(found_right)})
+        x, y = np.concatenate(found_left), np.concatenate(found_right)
+        # Left sets with right ones in common are compared by one task, if they fit.
+        least = np.full(len(node_l), len(node_r))
+        np.minimum.at(least, x, y)
+        order = np.lexsort((y, x, least[x]))
+        x, y = x[order], y[order]
+        part = (np.cumsum(n_l[x] * (np.diff(x, prepend=-1) != 0)) // PART).astype(np.int32)
+        key = {c: table[c].slice(0, 1).to_pylist() * len(x) for c in ("tenant_id", "category", "band")}
+        return pa.table({**key, "part": part, "left_node": node_l[x], "left_row": row_l[x], "right_node": node_r[y], "right_row": row_r[y]}, FOUND)
 
     return run
 
 
+FOUND = pa.schema([("tenant_id", pa.string()), ("category", pa.string()), ("band", pa.int32()), ("part", pa.int32()), *((f"{side}_{x}", pa.int64()) for side in ("left", "right") for x in ("node", "row"))])
+PAIRS = "tenant_id string, category string, band int, part int, left_node long, left_row long, right_node long, right_row long"
+
+
 def candidates(left: DataFrame, right: DataFrame, threshold: float, total: int) -> DataFrame:
-    """left_node and right_node of all pairs of sets (tenant_id, category,
-    node, tokens as hashes) of a tenant and category whose Jaccard may be at
-    least ``threshold``, but those of one node; empty sets take no part.
-    ``total`` is about the rows of ``right``."""
+    """The pairs of sets (tenant_id, category, node, row, tokens as hashes) of a
+    tenant and category whose Jaccard may be at least ``threshold``, but those of
+    one node; empty sets take no part. Sets of one node are copies; a pair has
+    the row of one of them on each side, and the block where it was found (band
+    and part). ``total`` is about the rows of ``right``."""
     ship(left.sparkSession)
     frequent = frequent_tokens(right, total)
-    columns = ["tenant_id", "category", "node", "tokens"]
+    columns = ["tenant_id", "category", "node", "row", "tokens"]
     one = left.select(*columns).mapInArrow(_prefixes(frequent, threshold, True), PREFIXES)
     two = right.select(*columns).mapInArrow(_prefixes(frequent, threshold, False), PREFIXES)
-    return one.unionAll(two).groupBy("tenant_id", "category", "band").applyInArrow(_pairs(threshold), "left_node long, right_node long")
+    return one.unionAll(two).groupBy("tenant_id", "category", "band").applyInArrow(_pairs(threshold), PAIRS)
+
+
+def _whole(table: pa.Table, on_left: bool):
+    """class, node, tokens and their offsets, of each set once, by node."""
+    mine = table.filter(pa.compute.equal(table["on_left"], on_left))
+    names = list(zip(mine["node"].to_pylist(), mine["class"].to_pylist()))
+    once = {name: k for k, name in enumerate(names)}
+    mine = mine.take(pa.array([once[name] for name in sorted(once)], pa.int64())).combine_chunks()
+    if not mine.num_rows:
+        return [], np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+    lists = mine["tokens"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    return mine["class"].to_pylist(), mine["node"].to_numpy(), lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _scored(threshold: float):
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        class_l, node_l, tokens_l, at_l = _whole(sets, True)
+        class_r, node_r, tokens_r, at_r = _whole(sets, False)
+        known, codes = np.unique(np.concatenate([tokens_l, tokens_r]), return_inverse=True)
+        codes_l, codes_r = codes[: len(tokens_l)], codes[len(tokens_l) :]
+        rights: dict[int, set[int]] = {}
+        for a, b in zip(pairs["left_node"].to_pylist(), pairs["right_node"].to_pylist()):
+            rights.setdefault(a, set()).add(b)
+        out, marked = [], np.zeros(len(known), bool)
+        for i, node in enumerate(node_l.tolist()):
+            wanted = np.fromiter(rights.get(node, ()), np.int64)
+            low, high = np.searchsorted(node_r, wanted, "left"), np.searchsorted(node_r, wanted, "right")
+            js = np.concatenate([low[low < high], *(np.arange(x + 1, y) for x, y in zip(low, high) if y > x + 1)])
+            if not len(js):
+                continue
+            own = codes_l[at_l[i] : at_l[i + 1]]
+            marked[own] = True
+            common = np.array([np.count_nonzero(marked[codes_r[at_r[j] : at_r[j + 1]]]) for j in js])
+            marked[own] = False
+            similarity = common / (len(own) + (at_r[js + 1] - at_r[js]) - common)
+            out += [(class_l[i], class_r[j], x) for j, x in zip(js.tolist(), similarity.tolist()) if x >= threshold]
+        key = {c: pairs[c].slice(0, 1).to_pylist() * len(out) for c in ("tenant_id", "category")}
+        one, two, three = zip(*out) if out else ((), (), ())
+        return pa.table({**key, "left": pa.array(one, pa.string()), "right": pa.array(two, pa.string()), "similarity": pa.array(three, pa.float64())}, SCORED)
+
+    return run
+
+
+SCORED = pa.schema([*((c, pa.string()) for c in ("tenant_id", "category", "left", "right")), ("similarity", pa.float64())])
+
+
+def scored(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """tenant_id, category, left and right class and Jaccard similarity of
+    ``candidates`` that are at or above the threshold. ``sets`` (tenant_id,
+    category, band, part, on_left, node, class, tokens) has the whole sets of
+    each block's pairs; each is dealt out once a block."""
+    block = ["tenant_id", "category", "band", "part"]
+    own = sets.select(*block, "on_left", "node", "class", "tokens").groupBy(*block)
+    return own.cogroup(pairs.select(*block, "left_node", "right_node").groupBy(*block)).applyInArrow(_scored(threshold), "tenant_id string, category string, left string, right string, similarity double")
