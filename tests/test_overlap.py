@@ -74,3 +74,29 @@ def test_parts_of_a_block_lose_no_pair(spark, monkeypatch):
                 found[r["left"], r["right"]] = r["similarity"]
     wanted = {(str(i), str(j)): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a & b and len(a & b) >= 0.6 * len(a | b)}
     assert found == wanted and len(wanted) > 10 and len(parts) > len({band for band, _ in parts})
+
+
+def test_a_block_gives_no_more_than_the_closest(spark, monkeypatch):
+    """Near copies, many of them alike near: what is made of the pairs grows as
+    the sets, and the best ids are those of all pairs."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[: 60 - k % 20] + [f"own{k}"]) for k in range(60)]
+    rows = spark.createDataFrame([(7 * k % 60 + 60 * n, "t", "c", "active", text, str(k)) for k, text in enumerate(texts) for n in range(3)], "id long, tenant_id string, category string, lifecycle string, content string, content_hash string")
+    made, closest = [], overlap.closest
+    monkeypatch.setattr(overlap, "closest", lambda *a: made.append((a[1], closest(*a))) or made[-1][1])
+    found = {(r.left_id, r["rank"]): (r.right_id, r.similarity) for r in similarity.contradictions(rows, rows, 0.6, 4).collect()}
+    sets = [set(text.split()) for text in texts]
+    wanted = {}
+    for a, x in enumerate(sets):
+        near = sorted((-len(x & y) / len(x | y), 7 * b % 60 + 60 * n) for b, y in enumerate(sets) if a != b and len(x & y) >= 0.6 * len(x | y) for n in range(3))
+        wanted |= {(7 * a % 60 + 60 * n, k + 1): (right, -s) for n in range(3) for k, (s, right) in enumerate(near[:4])}
+    assert found == wanted
+    ((lists, pairs),) = made
+    assert lists.count() <= 4 * len(texts) and pairs.count() <= 3 * 4 * len(texts)
+
+
+def test_ids_that_are_no_integers_leave_no_pair_out(spark):
+    rows = spark.createDataFrame([(f"m{k}", "t", "c", "active", " ".join(f"w{j}" for j in range(20)) + f" own{k}", str(k)) for k in range(12)], "id string, tenant_id string, category string, lifecycle string, content string, content_hash string")
+    found = [(r.left_id, r["rank"], r.right_id) for r in similarity.contradictions(rows, rows, 0.6, 2).collect()]
+    names = sorted(f"m{k}" for k in range(12))
+    assert sorted(found) == sorted((a, k + 1, b) for a in names for k, b in enumerate([x for x in names if x != a][:2]))
