@@ -1,7 +1,11 @@
 """The stream of candidates over many batches."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql.readwriter import DataFrameReader
 
+from archivum import storage
 from archivum.streaming import cycle
 
 
@@ -40,3 +44,60 @@ def test_a_batch_that_comes_again_counts_its_own_rows_as_new(spark, tmp_path):
     assert len(known.runs) == 2
     for other in (known, cycle.Known(spark, store)):
         assert sorted(r.id for r in other.before(last).collect()) == sorted(str(n) for n in range(last))
+
+
+def repeats(spool, numbers):
+    """Lines of which most ids come again, in batches far apart, with other contents."""
+    for k in numbers:
+        rows = [(k, "b"), (k, "a"), (k * 7 % 30, "c"), (k // 3, "d")]
+        (spool / f"spool-{k:03}.jsonl").write_text("".join(f'{{"id":"{i}","content":"{c}{i}"}}\n' for i, c in rows))
+
+
+def test_small_batches_read_no_ids_of_earlier_ones(spark, tmp_path, monkeypatch):
+    spool, store, state = tmp_path / "spool", str(tmp_path / "store"), str(tmp_path / "state")
+    spool.mkdir()
+    read_, read = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **options: read_.append(paths) or read(self, *paths, **options))
+    repeats(spool, range(20))
+    cycle.start(spark, str(spool), store, state, files_per_batch=1).awaitTermination()
+    assert len(read_) <= 20 // cycle.MERGED and spark.conf.get(cycle.LOGS, None) is None
+    rows = read(spark.read, store).collect()
+    assert len({r.batch for r in rows}) <= 20 and len(rows) == len({r.id for r in rows})
+    assert {r.id for r in rows} == {str(i) for k in range(20) for i in (k, k * 7 % 30, k // 3)}
+
+
+@pytest.mark.parametrize(("small", "held"), [(0, 1 << 20), (1 << 20, 0), (1 << 20, 60), (350, 1 << 20), (1 << 20, 1 << 20)])
+def test_each_id_once_whether_the_driver_or_a_job_takes_a_batch(spark, tmp_path, monkeypatch, small, held):
+    """With a restart; in one batch the least content of an id stays."""
+    spool, store, state = tmp_path / "spool", str(tmp_path / "store"), str(tmp_path / "state")
+    spool.mkdir()
+    monkeypatch.setattr(cycle, "SMALL", small)
+    monkeypatch.setattr(cycle, "HELD", held)
+    for numbers in (range(9), range(9, 14)):
+        repeats(spool, numbers)
+        (spool / f"spool-{numbers[0]:03}.jsonl").write_text("".join(f'{{"id":"{numbers[0]}","content":"{c}{numbers[0]}{"-" * 300}"}}\n' for c in "ba"))
+        cycle.start(spark, str(spool), store, state, files_per_batch=1).awaitTermination()
+    rows = spark.read.parquet(store).collect()
+    ids = {str(i) for k in range(14) if k not in (0, 9) for i in (k, k * 7 % 30, k // 3)} | {"0", "9"}
+    assert sorted(r.id for r in rows) == sorted(ids)
+    assert not [r for r in rows if r.content.startswith("b")]
+    assert len([f for f in (tmp_path / "store").iterdir() if f.name.startswith("batch=")]) == 14
+
+
+def test_held_ids_with_equal_hashes_are_told_apart():
+    held = cycle.Held()
+    for k in range(20):
+        held.add(np.array([k % 3, k % 3]), pa.array([f"a{k}", f"b{k}"]))
+    assert len(held.runs) < cycle.MERGED + 3
+    asked = {f"{c}{k}": k % 3 for c in "abc" for k in range(22)}
+    assert held.those_of(asked) == {f"{c}{k}" for c in "ab" for k in range(20)} and held.those_of({}) == set()
+
+
+@pytest.mark.parametrize("scheme", ["file", "viewfs"])
+def test_a_small_table_replaces_what_a_folder_had(spark, tmp_path, scheme):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tables.link./in", f"file://{tmp_path}")
+    folder = f"file://{tmp_path}/t" if scheme == "file" else "viewfs://tables/in/t"
+    for ids in (["x", "y"], [], ["z"]):
+        storage.write_table(spark, pa.table({"id": pa.array(ids, pa.string())}), folder)
+        assert [r.id for r in spark.read.parquet(folder).orderBy("id").collect()] == ids
+        assert len([f for f in (tmp_path / "t").iterdir() if f.suffix == ".parquet"]) == 1
