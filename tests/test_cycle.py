@@ -3,9 +3,11 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameReader
 
 from archivum import storage
+from archivum.sources import jsonl
 from archivum.streaming import cycle
 
 
@@ -101,3 +103,38 @@ def test_a_small_table_replaces_what_a_folder_had(spark, tmp_path, scheme):
         storage.write_table(spark, pa.table({"id": pa.array(ids, pa.string())}), folder)
         assert [r.id for r in spark.read.parquet(folder).orderBy("id").collect()] == ids
         assert len([f for f in (tmp_path / "t").iterdir() if f.suffix == ".parquet"]) == 1
+
+
+def test_small_plain_batches_take_no_job(spark, tmp_path, monkeypatch):
+    """Odd lines are left to Spark; the lines of all batches are counted."""
+    spool, store, state = tmp_path / "spool ä", str(tmp_path / "store"), str(tmp_path / "state")
+    spool.mkdir()
+    jobs, to_arrow = [], type(spark.range(0)).toArrow
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda self: jobs.append(self) or to_arrow(self))
+    fill(spool, range(20))
+    query = cycle.start(spark, str(spool), store, state, files_per_batch=1)
+    query.awaitTermination()
+    assert jobs == [] and cycle.progress(query) == [(k, 4) for k in range(20)]
+    (spool / "spool-900.jsonl").write_text('{"id":900,"content":"x"}\n{ broken\n')
+    query = cycle.start(spark, str(spool), store, state, files_per_batch=1)
+    query.awaitTermination()
+    assert jobs and [n for _, n in cycle.progress(query)] == [2]
+    assert sorted(int(r.id) for r in spark.read.parquet(store).collect()) == [*range(20), 900, 1000, 1001, 1002]
+
+
+ODD_LINES = ["", " ", "{}", "null", "[]", '[["id","a"],["content","b"]]', '{"id":"a"}', '{"id":"a","content":null}', '{"id":"a","content":""}', '{"id":"a","content":"b"} x', "{'id':'a','content':'b'}", '{"id":1,"content":"b"}', '{"id":"a","content":{"b": 1}}', '{"id":"a","id":"c","content":"b"}', '{"ID":"a","content":"b"}', '{"id":"a","content":"\\ud83d\\ude00\\u0000é"}', '{"id":"a","content":"\\ud83d"}', '{"id":"a","content":"b\rc"}', '{"id":"a","content":"b\tc"}', '{"id":"a","content":"b","k":NaN}', '{"id":"a","content":"b","k":"\\x"}', '﻿{"id":"a","content":"b"}', ' {"id" : "a", "content":" "} \t', '{"id":"a","content":"b"']
+
+
+def test_what_the_driver_reads_of_a_line_is_what_spark_reads(spark, tmp_path):
+    folder = tmp_path / "spool"
+    folder.mkdir()
+    lines = [x.encode() for x in ODD_LINES] + [b'{"id":"a","content":"\xff"}']
+    for k, line in enumerate(lines):
+        (folder / f"spool-{k:03}.jsonl").write_bytes(line + b"\n")
+    seen = {k: [] for k in range(len(lines))}
+    for r in spark.read.text(str(folder)).select(F.substring("_metadata.file_name", 7, 3).cast("int").alias("k"), F.from_json("value", jsonl.CANDIDATE).alias("c")).collect():
+        seen[r.k] += [(r.c.id, r.c.content)] if r.c and r.c.id is not None and r.c.content is not None else []
+    made = {k: jsonl.plain(line + b"\n") for k, line in enumerate(lines)}
+    assert {k: (seen[k], 1) for k in seen if made[k]} == {k: v for k, v in made.items() if v}
+    assert [ODD_LINES[k] for k, v in made.items() if v] == [ODD_LINES[k] for k in (2, 6, 7, 8, 14, 15, 22)]
+    assert jsonl.plain(b"") == ([], 0) and jsonl.plain(b'{"id":"a","content":"b"}\n{"id":"c"}') == ([("a", "b")], 2)
