@@ -15,13 +15,12 @@ words of the documents are joined with the counts table.
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +28,8 @@ from archivum.llm._shared import HASHES, bounded_sample, for_python, release_mem
 
 #: Words whose counts every task has, at most.
 HOT = 131_072
+#: Words that are looked up at once, about; a table of HOT is made for each time.
+LOOKED = 800_000
 #: A task hands on its counts when it holds so many words.
 HELD = 400_000
 #: Classes, and words of a class, at least (see ``side_for``).
@@ -52,26 +53,78 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words`` of texts end to end, and where those of each begin and the
+    last end, without an object for each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at either end leaves an empty text
+    if not full.all():
+        flat, ends = flat.filter(pa.array(full)), np.append(0, np.cumsum(full))[ends]
+    return flat.cast(pa.binary()), ends
+
+
+class Places:
+    """Where words are in a list; its length for others. An array is looked up
+    as a whole in a table made for it, a short one in a dictionary."""
+
+    def __init__(self, listed: list[bytes]):
+        self.listed, self.place = pa.array(listed, pa.binary()), None
+
+    def of(self, found: pa.Array) -> np.ndarray:
+        cold = len(self.listed)
+        if len(found) * 8 >= cold:
+            return pc.index_in(found, value_set=self.listed).fill_null(cold).to_numpy()
+        if self.place is None:
+            self.place = {x: k for k, x in enumerate(self.listed.to_pylist())}
+        return np.array([self.place.get(x, cold) for x in found.to_pylist()], np.int32)
+
+
+def placed(batches: Iterator[pa.RecordBatch], places: Places) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Batches with what ``split`` gives of their first column, and the places
+    of its words. Batches of LOOKED words are looked up as one array."""
+    held, size = [], 0
+
+    def out():
+        at, start = places.of(pa.concat_arrays([found for _, found, _ in held])), 0
+        for batch, found, ends in held:
+            yield batch, found, ends, at[start : start + len(found)]
+            start += len(found)
+
+    for batch in batches:
+        held.append((batch, *split(batch.column(0))))
+        size += len(held[-1][1])
+        if size >= LOOKED:
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word and n of a task's texts; a word comes again after HELD others."""
+    held: list[pa.Table] = []
+
+    def grouped() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    for batch in batches:
+        values, counts = pc.value_counts(split(batch.column(0))[0]).flatten()
+        held.append(pa.table({"word": values, "n": counts}))
+        if sum(map(len, held)) > 2 * HELD:
+            held = [grouped()]
+            if len(held[0]) > HELD:
+                yield from held.pop().combine_chunks().to_batches()
+    if held:
+        yield from grouped().combine_chunks().to_batches()
+    held.clear()
+    release_memory()
+
+
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """word (binary) and n over all rows, pre-aggregated in each task."""
     for_python(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-            held.clear()
-            return made
-
-        for batch in batches:
-            for value in batch.column(0):
-                held.update(words(value.as_py()))
-            if len(held) > HELD:
-                yield out()
-        yield out()
-
-    parts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "word binary, n long")
+    parts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(counted, "word binary, n long")
     return stored(parts.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
@@ -403,9 +456,15 @@ def train_everywhere(training: DataFrame, text: str, network: Network, numbers:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, weights = shared.value
-        net = Network(dict(weights))
-        found = (words(value.as_py()) for batch in batches for value in batch.column(0))
-        n = fit_all(net, (np.frombuffer(array("i", map(numbers.get, x, repeat(1))), np.int32) for x in found))
+        net, places, tokens = Network(dict(weights)), Places([*numbers]), np.array([*numbers.values(), 1], np.int32)
+
+        def documents() -> Iterator[np.ndarray]:
+            for _, _, ends, at in placed(batches, places):
+                made = tokens[at]
+                for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    yield made[start:end]
+
+        n = fit_all(net, documents())
         flat = np.concatenate([net.weights[k].ravel() for k in sorted(net.weights)])
         release_memory()
         if n:
@@ -476,8 +535,7 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered, weights, base_terms, other_terms = shared.value
-        place = {x: k for k, x in enumerate(ordered)}
-        net, cold = Network(weights), len(ordered)
+        places, net, cold = Places(ordered), Network(weights), len(ordered)
         known_words = min(vocabulary, cold)
         item = pa.struct([("word", pa.binary()), ("n", pa.int64())])
 
@@ -494,15 +552,17 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
         # Documents of several batches run side by side, so that a long one
         # isn't alone for most of its steps.
         rows, documents, sums, held = [], [], [], 0
-        for batch in batches:
+        for batch, found, ends, at in placed(batches, places):
             done = 0
-            for i, value in enumerate(batch.column(0)):
-                found = words(value.as_py())
-                at = np.frombuffer(array("i", map(place.get, found, repeat(cold))), np.int32)
-                rare_at = np.flatnonzero(at == cold)
-                documents.append(np.where(at < known_words, at + 2, 1).astype(np.int32))
-                sums.append((len(found) + 1, len(found) - len(rare_at) + end_known, float(base_terms[at].sum()) + end_term, float(other_terms[at].sum()), Counter(found[k] for k in rare_at.tolist())))
-                held += len(found)
+            tokens = np.where(at < known_words, at + 2, 1).astype(np.int32)
+            rare_at = np.flatnonzero(at == cold)
+            rare, rare_ends = found.take(pa.array(rare_at)).to_pylist(), np.searchsorted(rare_at, ends).tolist()
+            bases, others = base_terms[at], other_terms[at]
+            for i, (start, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                unknown = rare[rare_ends[i] : rare_ends[i + 1]]
+                documents.append(tokens[start:end])
+                sums.append((end - start + 1, end - start - len(unknown) + end_known, float(bases[start:end].sum()) + end_term, float(others[start:end].sum()), Counter(unknown)))
+                held += end - start
                 if held > TOKENS or len(sums) >= SIDE_BY_SIDE:
                     rows.append(batch.slice(done, i + 1 - done).select(range(1, batch.num_columns)))
                     yield out(rows, documents, sums)
