@@ -40,12 +40,15 @@ SAMPLE_TEXTS, EPOCHS = 1200, 2
 #: Streams side by side and rate of the pass over all texts, and parts in which
 #: the tasks' weights are averaged.
 WIDE, RATE, PARTS = 512, 0.002, 64
-#: Steps of a window of scoring, and tokens scored together.
-STEPS, TOKENS = 64, 400_000
+#: Tokens of a step of fitting, about.
+TOKENS = 400_000
+#: Steps of a window of scoring, or as many as have so many tokens, and tokens
+#: scored together: the more, the fewer steps of few documents.
+STEPS, TOGETHER, SCORED = 16, 32_768, 1_600_000
 #: Rows of class logits made at a time: they stay in a core's cache.
 ROWS = 2_048
 #: Documents scored together, at most.
-SIDE_BY_SIDE = 2_000
+SIDE_BY_SIDE = 8_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -162,6 +165,43 @@ def with_one(states: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out.take(order, axis=0)
 
 
+def advance(to_gates: np.ndarray, to_new: np.ndarray, state: np.ndarray, by_gates: np.ndarray, by_new: np.ndarray):
+    """The next state of a cell, its gates (reset, keep), its new state and that
+    before the reset, from what tokens add and weights that lie apart as those
+    of ``Network.apart``. Work is done in place: most of the time goes into
+    passing over these arrays."""
+    gates = state @ by_gates
+    gates += to_gates
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    inner = state @ by_new
+    new = gates[0] * inner
+    new += to_new
+    np.tanh(new, out=new)
+    out = state - new
+    out *= gates[1]
+    out += new
+    return out, gates, new, inner
+
+
+def parts(ends: list[int]) -> Iterator[tuple[slice, list[tuple[int, slice]]]]:
+    """Parts of at most ROWS rows, which lie in order of their classes; and the
+    classes of each part with their rows in it."""
+    at, kind = 0, 0
+    while at < ends[-1]:
+        stop, start, found = min(at + ROWS, ends[-1]), at, []
+        while start < stop:
+            if ends[kind] <= start:
+                kind += 1
+                continue
+            end = min(ends[kind], stop)
+            found.append((kind, slice(start - at, end - at)))
+            start = end
+        yield slice(at, stop), found
+        at = stop
+
+
 class Network:
     """Tokens are numbered by falling frequency: 0 the end, 1 another word,
     then words; token // side is a token's class."""
@@ -194,25 +234,16 @@ class Network:
         w = self.weights
         return np.vstack((w["class"], w["class_bias"][None])), np.concatenate((w["word"], w["word_bias"][:, None]), axis=1)
 
+    def apart(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the two gates, negated, and of the new state. All three
+        lie apart, as NumPy is slow on parts of short rows."""
+        reset, keep, new = np.hsplit(self.weights[name], 3)
+        return np.negative((reset, keep)), new.copy()
+
     def step(self, tokens: np.ndarray, state: np.ndarray):
-        """The next state, and what the backward pass needs. Work is done in
-        place: most of the time goes into passing over these arrays."""
-        w, h = self.weights, HIDDEN
-        x = w["input"].take(tokens, axis=0)
-        s = state @ w["state"]
-        gates = x[:, : 2 * h] + s[:, : 2 * h]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        reset, keep, inner = gates[:, :h], gates[:, h:], s[:, 2 * h :]
-        new = reset * inner
-        new += x[:, 2 * h :]
-        np.tanh(new, out=new)
-        out = state - new
-        out *= keep
-        out += new
-        return out, reset, keep, new, inner
+        """The next state, both gates, and what the backward pass needs."""
+        gates, new = self.apart("input")
+        return advance(gates.take(tokens, axis=1), new.take(tokens, axis=0), state, *self.apart("state"))
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logs of the targets' probabilities after these states."""
@@ -221,21 +252,21 @@ class Network:
         order = order_of(kinds, self.side)
         ends = np.cumsum(np.bincount(kinds, minlength=self.side)).tolist()
         states, kinds, words = with_one(states, order), kinds[order], words[order]
-        logs, ones = np.empty(len(kinds), states.dtype), np.ones(self.side, states.dtype)
-        for at in range(0, len(kinds), ROWS):
-            part = slice(at, at + ROWS)
-            logits = states[part] @ by_class
-            own = logits[np.arange(len(logits)), kinds[part]]
+        logs, ones, cells = np.empty(len(kinds), states.dtype), np.ones(self.side, states.dtype), np.arange(ROWS) * self.side
+        made = np.empty((min(ROWS, len(kinds)), self.side), states.dtype)
+
+        def shares(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
+            own = logits.ravel().take(cells[: len(right)] + right)
             own -= np.log(np.exp(logits, out=logits) @ ones)
-            logs[part] = own
-        start = 0
-        for kind, end in enumerate(ends):
-            if end > start:
-                inner = states[start:end] @ by_word[kind]
-                own = inner[np.arange(end - start), words[start:end]]
-                own -= np.log(np.exp(inner, out=inner) @ ones)
-                logs[start:end] += own
-            start = end
+            return own
+
+        for part, found in parts(ends):
+            rows = states[part]
+            logits = np.matmul(rows, by_class, out=made[: len(rows)])
+            logs[part] = shares(logits, kinds[part])
+            for kind, its in found:
+                np.matmul(rows[its], by_word[kind], out=logits[its])
+            logs[part] += shares(logits, words[part])
         out = np.empty_like(logs)
         out[order] = logs
         return out
@@ -244,28 +275,32 @@ class Network:
         """Natural log-likelihood of whole documents (token arrays without the
         end). Documents run side by side, longest first; states carry over
         from window to window."""
+        if not documents:
+            return np.zeros(0)
         lengths = np.array([len(d) + 1 for d in documents])
         order = np.argsort(-lengths, kind="stable")
-        long_first = lengths[order]
-        starts = np.cumsum(long_first) - long_first
-        flat = np.zeros(long_first.sum(), np.int32)
-        for at, k in zip(starts.tolist(), order.tolist()):
-            flat[at : at + len(documents[k])] = documents[k]
+        # Before each document there is an end: that of another, or one added.
+        flat, begins = np.append(np.int32(0), streamed(documents)[0]), (np.cumsum(lengths) - lengths)[order]
+        longer = np.searchsorted(lengths[order[::-1]], np.arange(lengths.max()), side="right")
+        beside = (len(documents) - longer).astype(np.int32)  # step t takes the first beside[t] documents
         total = np.zeros(len(documents))
         state = np.zeros((len(documents), HIDDEN), np.float32)
-        previous = np.zeros(len(documents), np.int32)
-        for t0 in range(0, int(long_first[0]) if len(documents) else 0, STEPS):
-            states, targets, owners = [], [], []
-            for t in range(t0, min(t0 + STEPS, int(long_first[0]))):
-                n = int(np.searchsorted(-long_first, -t, side="left"))  # documents longer than t
-                state = self.step(previous[:n], state[:n])[0]
-                previous = flat[starts[:n] + t]
-                states.append(state), targets.append(previous), owners.append(n)
-            logs = self.log_probabilities(np.concatenate(states), np.concatenate(targets))
-            at = 0
-            for n in owners:
-                total[:n] += logs[at : at + n]
-                at += n
+        (gates, new), weights, begin = self.apart("input"), self.apart("state"), 0
+        while begin < len(beside):
+            n = beside[begin : begin + TOGETHER]
+            ends = np.cumsum(n, dtype=np.int64)
+            steps = max(STEPS, int(np.searchsorted(ends, TOGETHER, side="right")))
+            n, ends = n[:steps], ends[:steps]
+            owners = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            places = begins.take(owners) + np.repeat(np.arange(begin, begin + len(n)), n)
+            before = flat.take(places)
+            to_gates, to_new = gates.take(before, axis=1), new.take(before, axis=0)
+            states = np.empty(to_new.shape, np.float32)
+            for start, end in zip((ends - n).tolist(), ends.tolist()):
+                state = advance(to_gates[:, start:end], to_new[start:end], state[: end - start], *weights)[0]
+                states[start:end] = state
+            total[: n[0]] += np.bincount(owners, self.log_probabilities(states, flat.take(places + 1)), n[0])
+            begin += len(n)
         out = np.empty(len(documents))
         out[order] = total
         return out
@@ -275,13 +310,16 @@ class Network:
         ``fresh`` marks where a document begins and the state is zero."""
         w, h = self.weights, HIDDEN
         steps, lanes = tokens.shape
-        trace = []
+        (gates, new), recurrent, trace = self.apart("input"), self.apart("state"), []
+        to_gates, to_new = gates.take(tokens, axis=1), new.take(tokens, axis=0)
         for t in range(steps):
-            state = state * ~fresh[t][:, None]
-            made = self.step(tokens[t], state)
-            trace.append((state, *made[1:]))
+            begun = np.flatnonzero(fresh[t])
+            if len(begun):
+                state = state.copy()
+                state[begun] = 0
+            made = advance(to_gates[:, t], to_new[t], state, *recurrent)
+            trace.append((begun, state, *made[1:], made[0]))
             state = made[0]
-            trace[-1] += (state,)
         flat = targets.ravel()
         kinds, words = np.divmod(flat, self.side)
         order = order_of(kinds, self.side)
@@ -289,58 +327,66 @@ class Network:
         kinds, words, scale = kinds[order], words[order], 1.0 / len(flat)
         states = with_one(np.concatenate([x[-1] for x in trace]), order)
         by_class, by_word = self.heads()
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        ones, cells = np.ones(self.side, states.dtype), np.arange(ROWS) * self.side
 
-        def slopes(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
+        def slopes(logits: np.ndarray, right: np.ndarray) -> None:
             """Of the scaled loss by the logits, in their place."""
             np.exp(logits, out=logits)
-            logits *= (scale / (logits @ np.ones(self.side, logits.dtype)))[:, None]
-            logits[np.arange(len(right)), right] -= scale
-            return logits
-
-        made, by_kind = np.zeros_like(by_class), np.empty((len(flat), h), states.dtype)
-        for at in range(0, len(flat), ROWS):
-            part = slice(at, at + ROWS)
-            p = slopes(states[part] @ by_class, kinds[part])
-            made += states[part].T @ p
-            np.matmul(p, w["class"].T, out=by_kind[part])
-        grads["class"], grads["class_bias"] = made[:h], made[h]
-        start = 0
-        for kind, end in enumerate(ends):
-            if end > start:
-                own = states[start:end]
-                q = slopes(own @ by_word[kind], words[start:end])
-                made = own.T @ q
-                grads["word"][kind], grads["word_bias"][kind] = made[:h], made[h]
-                by_kind[start:end] += q @ w["word"][kind].T
-            start = end
+            logits *= (scale / (logits @ ones))[:, None]
+            logits.ravel()[cells[: len(right)] + right] -= scale
+
+        d_class, d_word = np.zeros_like(by_class), np.zeros_like(by_word)
+        by_kind, made = np.empty((len(flat), h), states.dtype), np.empty((min(ROWS, len(flat)), self.side), states.dtype)
+        for part, found in parts(ends):
+            own, back = states[part], by_kind[part]
+            p = np.matmul(own, by_class, out=made[: len(own)])
+            slopes(p, kinds[part])
+            d_class += own.T @ p
+            np.matmul(p, w["class"].T, out=back)
+            for kind, its in found:
+                np.matmul(own[its], by_word[kind], out=p[its])
+            slopes(p, words[part])
+            for kind, its in found:
+                d_word[kind] += own[its].T @ p[its]
+                back[its] += p[its] @ w["word"][kind].T
+        grads = {"class": d_class[:h], "class_bias": d_class[h], "word": d_word[:, :h], "word_bias": d_word[:, h]}
         d_states = np.empty_like(by_kind)
         d_states[order] = by_kind
         d_states = d_states.reshape(steps, lanes, h)
         back = np.zeros((lanes, h), d_states.dtype)
-        d_inputs = np.empty((steps, lanes, 3 * h), d_states.dtype)
+        # By the new state, the gates, and the new state before the reset.
+        d_sums, d_state = np.empty((4, steps, lanes, h), d_states.dtype), np.zeros((3, h, h), d_states.dtype)
+        by_reset, by_keep, by_new = (np.ascontiguousarray(x.T) for x in np.hsplit(w["state"], 3))
         for t in range(steps - 1, -1, -1):
-            before, reset, keep, new, inner, _ = trace[t]
+            begun, before, (reset, keep), new, inner, _ = trace[t]
+            d_new, d_reset, d_keep, d_inner = d_sums[:, t]
             back += d_states[t]
-            into = d_inputs[t]
-            d_reset, d_keep, d_new = into[:, :h], into[:, h : 2 * h], into[:, 2 * h :]
-            np.multiply(back, 1 - keep, out=d_new)
-            d_new *= 1 - new * new
-            np.multiply(d_new, inner, out=d_reset)
-            d_reset *= reset * (1 - reset)
-            np.subtract(before, new, out=d_keep)
-            d_keep *= back
-            d_keep *= keep * (1 - keep)
-            d_sum = into.copy()
-            d_sum[:, 2 * h :] *= reset
-            grads["state"] += before.T @ d_sum
+            np.subtract(1, keep, out=d_new)
+            d_new *= back
+            np.multiply(new, new, out=d_inner)
+            np.subtract(1, d_inner, out=d_inner)
+            d_new *= d_inner
+            np.multiply(d_new, reset, out=d_inner)
+            np.subtract(1, reset, out=d_reset)
+            d_reset *= d_inner
+            d_reset *= inner
             back *= keep
-            back += d_sum @ w["state"].T
-            back *= ~fresh[t][:, None]
+            np.subtract(1, keep, out=d_keep)
+            d_keep *= back
+            np.subtract(before, new, out=new)
+            d_keep *= new
+            d_state += before.T @ d_sums[1:, t]
+            back += d_reset @ by_reset
+            back += d_keep @ by_keep
+            back += d_inner @ by_new
+            back[begun] = 0
+        grads["state"] = np.hstack(d_state)
         order = order_of(tokens.ravel(), self.side**2)
         found = tokens.ravel()[order]
         starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-        grads["input"][found[starts]] = np.add.reduceat(d_inputs.reshape(-1, 3 * h).take(order, axis=0), starts)
+        new, reset, keep = np.add.reduceat(d_sums[:3].reshape(3, -1, h).take(order, axis=1), starts, axis=1)
+        grads["input"] = np.zeros_like(w["input"])
+        grads["input"][found[starts]] = np.hstack((reset, keep, new))
         return grads, state
 
 
@@ -563,7 +609,7 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
                 documents.append(tokens[start:end])
                 sums.append((end - start + 1, end - start - len(unknown) + end_known, float(bases[start:end].sum()) + end_term, float(others[start:end].sum()), Counter(unknown)))
                 held += end - start
-                if held > TOKENS or len(sums) >= SIDE_BY_SIDE:
+                if held > SCORED or len(sums) >= SIDE_BY_SIDE:
                     rows.append(batch.slice(done, i + 1 - done).select(range(1, batch.num_columns)))
                     yield out(rows, documents, sums)
                     rows, documents, sums, held, done = [], [], [], 0, i + 1
